@@ -26,7 +26,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from moundworks.llm import shared
-from moundworks.llm.tokens import END_ID, ChunkEncoder
+from moundworks.llm.tokens import END_ID, encoded
+from moundworks.llm.tokens import encoder as shared_encoder
 
 MAGIC, VERSION = b"MWID", 1
 HEADER = struct.Struct("<4sHHIQQ")
@@ -111,7 +112,7 @@ def put(folder: str, name: str, data: bytes) -> None:
     store.move(f"{path}/{own}", f"{path}/{name}")
 
 
-def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END_ID, vocabulary: int | None = None, shard_ids: int = 1 << 22, task_bytes: int = 64 << 20) -> DataFrame:
+def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END_ID, vocabulary: int | None = None, shard_ids: int = 1 << 22, task_bytes: int = 16 << 20) -> DataFrame:
     """Encode every text (null: empty) and write the shards to ``folder`` in ascending doc_id order.
 
     Returns a row per shard: file, task and number (their order is that of the documents), n_docs,
@@ -120,7 +121,8 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END_ID, vo
     rows of one doc_id follow each other by the hash of their text. An empty table writes no shard.
     """
     spark = docs.sparkSession
-    n = shared.parts(spark, shared.text_bytes(docs), task_bytes)
+    shared.ship(spark)
+    n = shared.parts(spark, shared.input_bytes(docs), task_bytes)
     key = F.xxhash64(F.coalesce("text", F.lit("")))
     dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), key.alias("h")).repartitionByRange(n, "doc_id", "h").sortWithinPartitions("doc_id", "h").drop("h")
 
@@ -128,7 +130,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END_ID, vo
         from pyspark import TaskContext
 
         task, shard = TaskContext.get().partitionId(), 0
-        encoder = ChunkEncoder(tokenizer)
+        encoder = shared_encoder(tokenizer)
         bits = bits_for(max(vocabulary or encoder.tokenizer.get_vocab_size(), end_id + 1))
         end = struct.pack("<I", end_id)
         doc_ids: list[int | None] = []
@@ -147,8 +149,8 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END_ID, vo
             return row
 
         for batch in batches:
-            for d, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = encoder.encode(text.as_py()) + end
+            for d, ids in encoded(encoder, batch):
+                ids += end
                 doc_ids.append(d)
                 lengths.append(len(ids) // 4)
                 held.append(ids)

@@ -19,7 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from moundworks.llm import shared
-from moundworks.llm.tokens import END_ID, ChunkEncoder
+from moundworks.llm.tokens import END_ID, encoded
+from moundworks.llm.tokens import encoder as shared_encoder
 
 PIECES = "doc_id long, row long, piece int, start long, length long, ids_crc32 long"
 
@@ -65,16 +66,17 @@ class BestFit:
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int = END_ID) -> DataFrame:
     """A row per piece: doc_id, row (tells rows of one doc_id apart), piece, start, length, ids_crc32."""
+    shared.ship(docs.sparkSession)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         row = TaskContext.get().partitionId() << 40
-        encoder, end = ChunkEncoder(tokenizer), struct.pack("<I", end_id)
+        encoder, end = shared_encoder(tokenizer), struct.pack("<I", end_id)
         for batch in batches:
             out: list[tuple] = []
-            for d, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = encoder.encode(text.as_py()) + end
+            for d, ids in encoded(encoder, batch):
+                ids += end
                 n = len(ids) // 4
                 first = n % capacity or capacity
                 at, k = 0, 0

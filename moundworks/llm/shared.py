@@ -62,9 +62,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def text_bytes(docs: DataFrame, column: str = "text") -> int:
-    """UTF-8 bytes of all texts: sizes the tasks of what follows."""
-    return docs.agg(F.sum(F.octet_length(column)).alias("n")).first()["n"] or 0
+def input_bytes(df: DataFrame) -> int:
+    """Bytes of the files that ``df`` reads, as the planner knows them without a scan; it sizes the
+    tasks of what follows. Where the planner has no figure, the rows are read and summed."""
+    n = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    if n < 1 << 55:
+        return n
+    return df.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
 
 
 def parts(spark: SparkSession, size: int, each: int) -> int:

@@ -11,8 +11,15 @@ from __future__ import annotations
 
 import os
 import struct
+from collections.abc import Iterator
+from functools import lru_cache
+from itertools import islice
+
+import numpy as np
+import pyarrow as pa
 
 END_ID = 2
+STOPS = ".,;:!?"
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks already use all cores
 
 
@@ -32,46 +39,101 @@ class ChunkEncoder:
             and "use_regex=True" in pre
             and not any(" " in t.content or t.lstrip or t.rstrip for t in self.tokenizer.get_added_tokens_decoder().values())
         )
+        if hasattr(self.tokenizer.model, "_resize_cache"):
+            self.tokenizer.model._resize_cache(0)  # chunks are remembered here; each is asked for once
         self.limit = limit
         self.known: dict[str, bytes | None] = {}
+        self.tails: dict[str, bytes] = {}
+        self.begins_chunk = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.begins_chunk[i] = token.startswith("\u0120")  # a space, as byte-level tokens write it
 
     def whole(self, text: str) -> bytes:
         ids = self.tokenizer.encode(text, add_special_tokens=False).ids
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def learn(self, chunks: set[str]) -> None:
-        """Chunks are without the space before them; None marks those where a cut is not safe."""
-        if len(self.known) + len(chunks) > self.limit:
-            self.known.clear()
-        good = [c for c in chunks if c and not c[0].isspace() and not c[-1].isspace()]
-        for c, e in zip(good, self.tokenizer.encode_batch_fast([" " + c for c in good], add_special_tokens=False), strict=True):
-            ids = e.ids
-            self.known[c] = struct.pack(f"<{len(ids)}I", *ids)
-        for c in chunks.difference(good):
-            self.known[c] = None
+        """Chunks are without the space before them; None marks those where a cut is not safe.
 
-    def encode(self, text: str) -> bytes:
-        if not text:
-            return b""
+        Many chunks go to the library as one text: in its ids, those whose token begins with a space
+        begin a chunk. Punctuation after letters is a piece of its own, so it is split off first.
+        """
+        known, tails, bases = self.known, [], {}
+        for c in chunks:
+            if not c or c[0].isspace() or c[-1].isspace():
+                known[c] = None
+                continue
+            base = c.rstrip(STOPS)
+            if base != c and base.isalpha():
+                tails.append((c, base, c[len(base) :]))
+                if base not in known:
+                    bases[base] = None
+            else:
+                bases[c] = None
+        todo = list(bases)
+        runs = [todo[i : i + 50] for i in range(0, len(todo), 50)]
+        for run, e in zip(runs, self.tokenizer.encode_batch_fast([" " + " ".join(run) for run in runs], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, "<u4")
+            at = np.flatnonzero(self.begins_chunk[ids])
+            if len(at) != len(run):
+                raise ValueError("chunks and ids do not agree")
+            raw, cut = ids.tobytes(), [*(4 * at).tolist(), 4 * len(ids)]
+            for c, i, j in zip(run, cut, cut[1:], strict=False):
+                known[c] = raw[i:j]
+        for c, base, tail in tails:
+            known[c] = known[base] + self.tail(tail)
+
+    def tail(self, text: str) -> bytes:
+        if text not in self.tails:
+            if len(self.tails) > 10_000:
+                self.tails.clear()
+            self.tails[text] = self.whole(text)
+        return self.tails[text]
+
+    def encode_many(self, texts: list[str]) -> list[bytes]:
         if not self.by_chunk:
-            return self.whole(text)
-        chunks = text.split(" ")
-        first = chunks[0]
-        if not first or first[-1].isspace():
-            return self.whole(text)
-        del chunks[0]
-        known = self.known
-        try:
-            rest = b"".join(map(known.__getitem__, chunks))
-        except KeyError:
+            return [self.whole(t) for t in texts]
+        cut = [t.split(" ") for t in texts]
+        firsts = [c[0] for c in cut]
+        for c in cut:
+            del c[0]
+        unknown = set().union(*cut).difference(self.known)
+        if len(self.known) + len(unknown) > self.limit:
+            self.known = dict(islice(self.known.items(), self.limit // 4))  # the first known are mostly the frequent ones
+            unknown = set().union(*cut).difference(self.known)
+        if unknown:
+            self.learn(unknown)
+        known, out = self.known.__getitem__, []
+        for t, first, chunks in zip(texts, firsts, cut, strict=True):
+            if chunks and (not first or first[-1].isspace()):
+                out.append(self.whole(t))
+                continue
             try:
-                unknown = {c for c in chunks if c not in known}
-                self.learn(unknown)
-                if len(unknown) and not all(c in self.known for c in chunks):
-                    self.learn({c for c in chunks if c not in self.known})
-                rest = b"".join(map(self.known.__getitem__, chunks))
-            except (TypeError, KeyError):
-                return self.whole(text)
-        except TypeError:
-            return self.whole(text)
-        return self.whole(first) + rest
+                out.append(self.tail(first) + b"".join(map(known, chunks)) if first else b"")
+            except TypeError:  # a None: some cut is not safe
+                out.append(self.whole(t))
+        return out
+
+    def encode(self, text: str) -> bytes:
+        return self.encode_many([text])[0]
+
+
+@lru_cache(maxsize=1)
+def encoder(path: str) -> ChunkEncoder:
+    """One encoder a Python worker: Spark gives a worker task after task, and chunks stay known."""
+    return ChunkEncoder(path)
+
+
+def encoded(by: ChunkEncoder, batch: pa.RecordBatch, size: int = 4 << 20) -> Iterator[tuple[int | None, bytes]]:
+    """First column and the ids of the second, some MB of text at a time."""
+    ids, texts, held = [], [], 0
+    for d, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+        text = text.as_py()
+        ids.append(d)
+        texts.append(text)
+        held += len(text)
+        if held >= size:
+            yield from zip(ids, by.encode_many(texts), strict=True)
+            ids, texts, held = [], [], 0
+    if texts:
+        yield from zip(ids, by.encode_many(texts), strict=True)
