@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from moundworks.llm import packed_ids, packing
+from moundworks.llm import packed_ids, packing, suffix, superkmers, toxicity, weighted_fingerprints
 from moundworks.llm.shared import table
 
 
@@ -14,17 +14,37 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_ids.encode_and_read(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.dedup(table(spark, sf_dir, "documents"), width=50)
+
+
+def op6_super_kmer_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return superkmers.dedup(table(spark, sf_dir, "documents"), width=20)
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = packing.pack(table(spark, sf_dir, "documents"), tokenizer_path(), capacity=1024)
     return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op10_weighted_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weighted_fingerprints.fingerprints(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op4_packed_ids": op4_packed_ids,
+    "op5_suffix_array_dedup": op5_suffix_array_dedup,
+    "op6_super_kmer_dedup": op6_super_kmer_dedup,
     "op7_best_fit_packing": op7_best_fit_packing,
+    "op10_weighted_fingerprints": op10_weighted_fingerprints,
 }
 ORACLES: dict[str, str] = {}
