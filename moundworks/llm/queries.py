@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from moundworks.llm import packed_ids, packing, suffix, superkmers, toxicity, weighted_fingerprints
+from moundworks.llm import jaccard, langid, mixing, multi_index, packed_ids, packing, suffix, superkmers, toxicity, weighted_fingerprints
 from moundworks.llm.shared import table
 
 
@@ -18,6 +18,15 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mixing.mix(table(spark, sf_dir, "documents"), repetition_limit=2.0)
+    return out.select("doc_id", "source", "mix_tokens", "mix_pass", "mix_block", "mix_order")
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
+
+
 def op4_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_ids.encode_and_read(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -35,16 +44,28 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op8_inverted_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multi_index.search(table(spark, sf_dir, "embeddings"), every=50, k=5)
+
+
+def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.links(table(spark, sf_dir, "documents"), words=5, threshold=0.8)
+
+
 def op10_weighted_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weighted_fingerprints.fingerprints(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
+    "op2_temperature_mixing": op2_temperature_mixing,
+    "op3_language_id": op3_language_id,
     "op4_packed_ids": op4_packed_ids,
     "op5_suffix_array_dedup": op5_suffix_array_dedup,
     "op6_super_kmer_dedup": op6_super_kmer_dedup,
     "op7_best_fit_packing": op7_best_fit_packing,
+    "op8_inverted_multi_index": op8_inverted_multi_index,
+    "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
     "op10_weighted_fingerprints": op10_weighted_fingerprints,
 }
 ORACLES: dict[str, str] = {}

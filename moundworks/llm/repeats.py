@@ -77,6 +77,23 @@ def sliding(f: Callable, x: np.ndarray, n: int) -> np.ndarray:
     return f(x[: len(x) - (n - size)], x[n - size :]) if n > size else x
 
 
+def word_hashes(raw: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of each non-empty word raw[begin:end], of its bytes and length."""
+    size = end - begin
+    if not len(size):
+        return np.zeros(0, np.uint64)
+    powers = np.full(int(size.max()), BASE, np.uint64)
+    powers[0] = 1
+    powers = np.multiply.accumulate(powers)
+    out = np.empty(len(size), np.uint64)
+    for a in range(0, len(size), PIECE):
+        s, b = size[a : a + PIECE], begin[a : a + PIECE]
+        first = np.cumsum(s) - s
+        place = np.arange(int(s.sum())) - np.repeat(first, s)
+        out[a : a + PIECE] = np.add.reduceat((raw[place + np.repeat(b, s)] + np.uint64(1)) * powers[place], first)
+    return mixed(out + size.astype(np.uint64) * np.uint64(0x94D049BB133111EB))
+
+
 @dataclass
 class Plan:
     """How a corpus is cut: ``units`` is "bytes" or "words"."""
@@ -122,17 +139,7 @@ class Block:
         self.doc_at = np.concatenate([[0], np.searchsorted(self.unit_begin, self.ends)])
         if not len(self.unit_begin):
             return np.zeros(0, np.uint64)
-        size = self.unit_end - self.unit_begin
-        powers = np.full(int(size.max()), BASE, np.uint64)
-        powers[0] = 1
-        powers = np.multiply.accumulate(powers)
-        out = np.empty(len(size), np.uint64)
-        for a in range(0, len(size), PIECE):
-            s, b = size[a : a + PIECE], self.unit_begin[a : a + PIECE]
-            first = np.cumsum(s) - s
-            place = np.arange(int(s.sum())) - np.repeat(first, s)
-            out[a : a + PIECE] = np.add.reduceat((raw[place + np.repeat(b, s)] + np.uint64(1)) * powers[place], first)
-        return mixed(out + size.astype(np.uint64) * np.uint64(0x94D049BB133111EB))
+        return word_hashes(raw, self.unit_begin, self.unit_end)
 
     def _minimise(self, codes_of: Callable) -> None:
         """Runs of windows with one minimiser: ``run_at`` (first window), ``run_n``, ``run_key``;

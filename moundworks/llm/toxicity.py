@@ -74,7 +74,7 @@ def present(c: np.ndarray, ends: np.ndarray, bits: int, wanted: np.ndarray | Non
     return both >> bits, both & ((1 << bits) - 1)
 
 
-def train(labelled: DataFrame, bits: int = 18, kept: int = 1 << 14, penalty: float = 1.0, steps: int = 150) -> Model:
+def train(labelled: DataFrame, bits: int = 18, kept: int = 1500, penalty: float = 3.0, steps: int = 150) -> Model:
     """Fit on rows (text, label 0 or 1); their number is bounded by the caller. Counts of all slots
     are summed on the executors; to the driver come two counts a slot and, of each row, its kept slots."""
     rows = labelled.select(F.coalesce("text", F.lit("")).alias("text"), F.col("label").cast("int").alias("label"))
