@@ -69,9 +69,9 @@ def mix(
     """
     n_tokens = tokens if tokens is not None else word_count()
     key = F.xxhash64(*[F.col(c) for c in ("doc_id", "text") if c in docs.columns])
-    rows = docs.select("*", n_tokens.alias("mix_tokens"), key.alias("mix_key"))
-    measured = shared.staged(rows.select("source", "mix_key", "mix_tokens"), "measured")
-    sources = measured.groupBy("source").agg(F.sum("mix_tokens").alias("tokens"), F.count("*").alias("n")).limit(max_sources + 1).collect()
+    rows = docs.select("*", n_tokens.alias("_tokens"), key.alias("_key"))
+    measured = shared.staged(rows.select("source", "_key", "_tokens"), "measured")
+    sources = measured.groupBy("source").agg(F.sum("_tokens").alias("tokens"), F.count("*").alias("n")).limit(max_sources + 1).collect()
     if len(sources) > max_sources:
         raise ValueError(f"more than {max_sources} sources")
     sources.sort(key=lambda r: (r["source"] is not None, r["source"]))
@@ -80,35 +80,30 @@ def mix(
     times = passes(size, weights(size, bisect_exponent(size, target_entropy, repetition_limit, budget)), budget) if some else []
     plan = {r["source"]: (int(x + 1e-9), max(0, round((x - int(x + 1e-9)) * r["tokens"]))) for r, x in zip(some, times, strict=True)}
     table = [(r["source"], *plan.get(r["source"], (1, 0)), -(-r["n"] // block_rows)) for r in sources]
-    spark = docs.sparkSession
     # bounded by max_sources
-    shares = F.broadcast(spark.createDataFrame(table, "mix_source string, whole long, rest long, blocks long"))
+    shares = F.broadcast(docs.sparkSession.createDataFrame(table, "_source string, _whole long, _rest long, _blocks long"))
 
     def with_shares(x: DataFrame) -> DataFrame:
-        x = x.join(shares, x.source.cast("string").eqNullSafe(F.col("mix_source")))
-        return x.withColumn("mix_block", F.pmod(F.xxhash64("mix_key", F.lit(seed)), F.col("blocks")))
+        x = x.join(shares, x["source"].cast("string").eqNullSafe(F.col("_source")))
+        return x.withColumn("_block", F.pmod(F.xxhash64("_key", F.lit(seed)), F.col("_blocks")))
 
     def order(*c: str) -> Column:
-        return F.xxhash64(F.lit(seed), F.col("whole"), *[F.col(x) for x in c])
+        return F.xxhash64(F.lit(seed), F.col("_whole"), *[F.col(x) for x in c])
 
     measured = with_shares(measured)
-    blocks = measured.where("rest > 0").groupBy("mix_source", "mix_block", "whole", "rest").agg(F.sum("mix_tokens").alias("tokens"))
-    before = Window.partitionBy("mix_source").orderBy(order("mix_source", "mix_block"), "mix_block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.withColumn("left", F.col("rest") - F.coalesce(F.sum("tokens").over(before), F.lit(0))).where("left > 0")
-    blocks = blocks.select("mix_source", "mix_block", "tokens", "left")
-    full = blocks.where("tokens <= left").select("mix_source", "mix_block", F.lit(True).alias("taken"))
+    blocks = measured.where("_rest > 0").groupBy("_source", "_block", "_whole", "_rest").agg(F.sum("_tokens").alias("_sum"))
+    before = Window.partitionBy("_source").orderBy(order("_source", "_block"), "_block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.withColumn("_left", F.col("_rest") - F.coalesce(F.sum("_sum").over(before), F.lit(0))).where("_left > 0")
+    blocks = shared.staged(blocks.select(F.col("_source").alias("_s"), F.col("_block").alias("_b"), "_sum", "_left"), "blocks-taken")
+    here = F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_block") == F.col("_b"))
     # the block in which a source's budget ends: its rows in order while it lasts
-    edge = measured.join(blocks.where("tokens > left"), (measured.mix_source.eqNullSafe(blocks.mix_source)) & (measured.mix_block == blocks.mix_block)).select(measured.mix_source, measured.mix_block, "mix_key", "mix_tokens", "left", "whole")
-    inside = Window.partitionBy("mix_source", "mix_block").orderBy(order("mix_key"), "mix_key")
-    edge = edge.withColumn("upto", F.sum("mix_tokens").over(inside.rowsBetween(Window.unboundedPreceding, 0))).where("upto <= left")
-    edge = edge.select("mix_source", "mix_block", F.col("mix_key").alias("edge_key")).distinct()
-
-    out = with_shares(rows)
-    a = full.select(F.col("mix_source").alias("fs"), F.col("mix_block").alias("fb"), "taken")
-    out = out.join(a, F.col("mix_source").eqNullSafe(F.col("fs")) & (F.col("mix_block") == F.col("fb")), "left")
-    b = edge.select(F.col("mix_source").alias("es"), F.col("mix_block").alias("eb"), "edge_key")
-    out = out.join(b, F.col("mix_source").eqNullSafe(F.col("es")) & (F.col("mix_block") == F.col("eb")) & (F.col("mix_key") == F.col("edge_key")), "left")
-    n = F.col("whole") + F.when(F.col("taken").isNotNull() | F.col("edge_key").isNotNull(), 1).otherwise(0)
-    out = out.where(n > 0).select("*", F.explode(F.sequence(F.lit(0).cast("long"), n - 1)).alias("mix_pass"))
-    out = out.withColumn("mix_order", F.xxhash64(F.lit(seed), "mix_pass", "mix_source", "mix_block"))
-    return out.select(*docs.columns, *[c for c in ("mix_tokens", "mix_pass", "mix_block", "mix_order") if c not in docs.columns])
+    inside = Window.partitionBy("_source", "_block").orderBy(order("_key"), "_key").rowsBetween(Window.unboundedPreceding, 0)
+    edge = measured.join(blocks.where("_sum > _left"), here).withColumn("_upto", F.sum("_tokens").over(inside)).where("_upto <= _left")
+    edge = edge.select(F.col("_source").alias("_es"), F.col("_key").alias("_ek"), F.lit(True).alias("_edge")).distinct()
+
+    out = with_shares(rows).join(blocks.where("_sum <= _left").select("_s", "_b", F.lit(True).alias("_taken")), here, "left")
+    out = out.join(edge, F.col("_source").eqNullSafe(F.col("_es")) & (F.col("_key") == F.col("_ek")), "left")
+    n = F.col("_whole") + F.when(F.col("_taken").isNotNull() | F.col("_edge").isNotNull(), 1).otherwise(0)
+    out = out.where(n > 0).select("*", F.explode(F.sequence(F.lit(0).cast("long"), n - 1)).alias("_pass"))
+    more = {"mix_tokens": F.col("_tokens"), "mix_pass": F.col("_pass"), "mix_block": F.col("_block"), "mix_order": F.xxhash64(F.lit(seed), "_pass", "_source", "_block")}
+    return out.select(*docs.columns, *[c.alias(name) for name, c in more.items() if name not in docs.columns])
