@@ -236,47 +236,57 @@ def address(h: np.ndarray, buckets: int) -> np.ndarray:
     return ((h & np.uint64(0xFFFFFFFF)) % np.uint64(buckets) << np.uint64(32)) | (h >> np.uint64(32))
 
 
-def pack_blocks(docs: DataFrame, plan: Plan, buckets: int, block_bytes: int) -> DataFrame:
-    """The documents as a table of blocks, bucketed by block. Null texts are empty."""
+def pack_blocks(docs: DataFrame, plan: Plan, buckets: int, block_bytes: int, whole_rows: bool) -> DataFrame:
+    """The documents as a table of blocks, bucketed by block. Null texts are empty. With
+    ``whole_rows`` the rows as they came are kept beside, in the block's order."""
     spark = docs.sparkSession
+    columns = docs.columns if whole_rows else []
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         block = TaskContext.get().partitionId() << 32
         held: list[tuple[int, bytes]] = []
+        rows: list[pa.RecordBatch] = []
         size = 0
 
         def close() -> pa.RecordBatch:
             nonlocal block, size
-            held.sort(key=lambda x: x[0])
-            x = (np.array([d for d, _ in held], np.int64), np.array([len(t) for _, t in held], np.int64), b"".join(t for _, t in held))
-            row = pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([dump(x)], pa.binary())], names=["block", "payload"])
+            order = sorted(range(len(held)), key=lambda i: held[i][0])
+            x = (np.array([held[i][0] for i in order], np.int64), np.array([len(held[i][1]) for i in order], np.int64), b"".join(held[i][1] for i in order))
+            whole = pa.Table.from_batches(rows).take(pa.array(order)).combine_chunks().to_batches()[0] if columns else None
+            row = pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([dump(x)], pa.binary()), pa.array([dump(whole)], pa.binary())], names=["block", "payload", "whole"])
             held.clear()
+            rows.clear()
             block, size = block + 1, 0
             return row
 
         for batch in batches:
-            for d, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            begin = 0
+            for k, (d, t) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1), strict=True)):
                 t = t.as_py() or b""
                 if plan.units == "words":
                     t = b" ".join(t.split())
                 held.append((NO_ID if d is None else d, t))
                 size += len(t) + 16
                 if size >= block_bytes:
+                    rows.append(batch.select(columns).slice(begin, k + 1 - begin))
+                    begin = k + 1
                     yield close()
+            if columns and begin < batch.num_rows:
+                rows.append(batch.select(columns).slice(begin))
         if held:
             yield close()
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(pack, "block long, payload binary")
+    packed = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("binary").alias("_text"), *[F.col(c) for c in columns]).mapInArrow(pack, "block long, payload binary, whole binary")
     name = f"moundworks_blocks_{uuid.uuid4().hex}"
-    rows.write.bucketBy(buckets, "block").option("compression", "none").option("path", shared.fresh_dir(spark, "blocks")).saveAsTable(name)
+    packed.write.bucketBy(buckets, "block").option("compression", "none").option("path", shared.fresh_dir(spark, "blocks")).saveAsTable(name)
     return spark.table(name)
 
 
-def repeated_windows(docs: DataFrame, plan: Plan, first_places: Callable, digest: Callable, schema: str, block_bytes: int = 2 << 20, task_bytes: int = 8 << 20) -> DataFrame:
-    """Rows that ``digest(block, removed)`` yields for each block, where ``removed`` marks the units
-    that a repeated window covers.
+def repeated_windows(docs: DataFrame, plan: Plan, first_places: Callable, digest: Callable, schema: object, block_bytes: int = 2 << 20, task_bytes: int = 4 << 20, whole_rows: bool = False) -> DataFrame:
+    """Rows that ``digest(block, removed)`` gives for each block, where ``removed`` marks the units
+    that a repeated window covers; with ``whole_rows`` it also gets the block's rows as they came.
 
     ``first_places(strings, keys, docs, starts, plan)`` gets a bucket's strings with their first
     places and returns, a window after another, the doc_id and start of each window's first place.
@@ -284,7 +294,7 @@ def repeated_windows(docs: DataFrame, plan: Plan, first_places: Callable, digest
     spark = docs.sparkSession
     shared.ship(spark)
     buckets = shared.parts(spark, shared.input_bytes(docs), task_bytes)
-    blocks = pack_blocks(docs, plan, buckets, block_bytes)
+    blocks = pack_blocks(docs, plan, buckets, block_bytes, whole_rows)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -310,7 +320,7 @@ def repeated_windows(docs: DataFrame, plan: Plan, first_places: Callable, digest
         out = [np.packbits(bits[:, i:j], axis=1).tobytes() for i, j in zip(cut, cut[1:], strict=False)]
         return pa.table({"block": group["block"], "bucket": group["bucket"], "n": pa.array(np.diff(cut)), "bits": pa.array(out, pa.binary())})
 
-    answers = shared.staged(blocks.mapInArrow(ask, "bucket long, block long, keys binary, twice binary").groupBy("bucket").applyInArrow(answer, "block long, bucket long, n long, bits binary"), "answers")
+    answers = shared.staged(blocks.select("block", "payload").mapInArrow(ask, "bucket long, block long, keys binary, twice binary").groupBy("bucket").applyInArrow(answer, "block long, bucket long, n long, bits binary"), "answers")
     known = blocks.join(answers.groupBy("block").agg(F.collect_list(F.struct("bucket", "n", "bits")).alias("answers")), "block", "left")
 
     def read_bits(rows: list[dict] | None) -> tuple[np.ndarray, np.ndarray]:
@@ -323,7 +333,7 @@ def repeated_windows(docs: DataFrame, plan: Plan, first_places: Callable, digest
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for b, payload, rows in zip(batch.column("block").to_pylist(), batch.column("payload"), batch.column("answers"), strict=True):
+            for number, payload, rows in zip(batch.column("block").to_pylist(), batch.column("payload"), batch.column("answers"), strict=True):
                 block = Block(payload.as_py(), plan)
                 c = block.candidates(buckets, *read_bits(rows.as_py()))
                 at, n = c["at"][c["first"]], c["n"][c["first"]]
@@ -331,48 +341,51 @@ def repeated_windows(docs: DataFrame, plan: Plan, first_places: Callable, digest
                 doc = np.searchsorted(block.doc_at[1:], at, side="right")
                 ids, starts = block.doc_ids[doc], at - block.doc_at[doc]
                 bucket, first = np.unique(c["bucket"], return_index=True)
-                out = []
+                out, key = [], [k.tobytes() for k in c["key"].astype("<u4")]
                 for i, j in zip(first.tolist(), [*first.tolist()[1:], len(at)], strict=False):
-                    text = [block.data[x:y] for x, y in zip(begin[i:j].tolist(), end[i:j].tolist(), strict=True)]
-                    out.append(dump((b"".join(text), (end - begin)[i:j].astype(np.int32), c["key"][i:j], n[i:j].astype(np.int32), ids[i:j], starts[i:j])))
-                yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array([b] * len(out), pa.int64()), pa.array(out, pa.binary())], names=["bucket", "block", "strings"])
+                    text = [y for k, a, b in zip(key[i:j], begin[i:j].tolist(), end[i:j].tolist(), strict=True) for y in (k, block.data[a:b])]
+                    out.append(dump((b"".join(text), (end - begin + 4)[i:j].astype(np.int32), n[i:j].astype(np.int32), ids[i:j], starts[i:j])))
+                yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array([number] * len(out), pa.int64()), pa.array(out, pa.binary())], names=["bucket", "block", "strings"])
 
     def settle(group: pa.Table) -> pa.Table:
         """One bucket: equal strings of its blocks are one string with the first place of them all."""
-        index: dict[tuple[int, bytes], int] = {}
+        index: dict[bytes, int] = {}  # of minimiser and string
         ids, starts, windows, blobs = [], [], [], []
         for blob in group["strings"]:
-            data, sizes, key, n, doc, start = load(blob.as_py())
-            own, at = [], 0
-            for size, k, m, d, s in zip(sizes.tolist(), key.tolist(), n.tolist(), doc.tolist(), start.tolist(), strict=True):
-                name = (k, data[at : at + size])
-                at += size
-                i = index.setdefault(name, len(index))
-                own.append(i)
-                if i == len(ids):
-                    ids.append(d)
-                    starts.append(s)
-                    windows.append(m)
-                elif (d, s) < (ids[i], starts[i]):
-                    ids[i], starts[i] = d, s
-            blobs.append(own)
-        count = np.array(windows, np.int64)
+            data, sizes, n, doc, start = load(blob.as_py())
+            cut = np.concatenate([[0], np.cumsum(sizes)]).tolist()
+            new = len(index)
+            own = np.array([index.setdefault(data[i:j], len(index)) for i, j in zip(cut, cut[1:], strict=False)], np.int64)
+            del data
+            first = own >= new  # in a block a string comes once
+            ids.append(doc[first])
+            starts.append(start[first])
+            windows.append(n[first].astype(np.int64))
+            blobs.append((own, first, doc, start))
+        ids, starts, count = np.concatenate(ids), np.concatenate(starts), np.concatenate(windows)
+        for own, first, doc, start in blobs:
+            own, doc, start = own[~first], doc[~first], start[~first]
+            less = (doc < ids[own]) | ((doc == ids[own]) & (start < starts[own]))
+            ids[own[less]], starts[own[less]] = doc[less], start[less]
+        blobs = [x[0] for x in blobs]
+        strings = list(index)
+        del index
+        keys = np.frombuffer(b"".join(x[:4] for x in strings), "<u4").astype(np.int64)
         cut = np.concatenate([[0], np.cumsum(count)])
-        doc, start = first_places([x[1] for x in index], np.array([x[0] for x in index], np.int64), np.array(ids, np.int64), np.array(starts, np.int64), count, plan)
+        doc, start = first_places([x[4:] for x in strings], keys, ids, starts, count, plan)
         out = []
         for own in blobs:
-            own = np.array(own, np.int64)
             m = count[own]
             take = np.arange(int(m.sum())) - np.repeat(np.cumsum(m) - m, m) + np.repeat(cut[own], m)
             out.append(dump((doc[take], start[take] if plan.same_document else None)))
         return pa.table({"block": group["block"], "bucket": group["bucket"], "places": pa.array(out, pa.binary())})
 
-    places = known.mapInArrow(send, "bucket long, block long, strings binary").groupBy("bucket").applyInArrow(settle, "block long, bucket long, places binary")
+    places = known.select("block", "payload", "answers").mapInArrow(send, "bucket long, block long, strings binary").groupBy("bucket").applyInArrow(settle, "block long, bucket long, places binary")
     back = known.join(places.groupBy("block").agg(F.collect_list(F.struct("bucket", "places")).alias("places")), "block", "left")
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for payload, rows, got in zip(batch.column("payload"), batch.column("answers"), batch.column("places"), strict=True):
+            for payload, whole, rows, got in zip(batch.column("payload"), batch.column("whole"), batch.column("answers"), batch.column("places"), strict=True):
                 block = Block(payload.as_py(), plan)
                 c = block.candidates(buckets, *read_bits(rows.as_py()))
                 found = [load(r["places"]) for r in sorted(got.as_py() or (), key=lambda r: r["bucket"])]
@@ -392,6 +405,7 @@ def repeated_windows(docs: DataFrame, plan: Plan, first_places: Callable, digest
                         earlier |= (doc[take] == block.doc_ids[own]) & (start[take] < window - block.doc_at[own])
                     np.add.at(covered, window[earlier], 1)
                     np.add.at(covered, window[earlier] + plan.width, -1)
-                yield digest(block, np.cumsum(covered[:-1]) > 0)
+                removed = np.cumsum(covered[:-1]) > 0
+                yield digest(block, removed, load(whole.as_py())) if whole_rows else digest(block, removed)
 
-    return back.mapInArrow(mark, schema)
+    return back.select("payload", "whole" if whole_rows else F.lit(None).cast("binary").alias("whole"), "answers", "places").mapInArrow(mark, schema)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from moundworks.llm.repeats import NO_ID, Block, Plan, repeated_windows
+from moundworks.llm.repeats import BASE, NO_ID, Block, Plan, gram_hashes, repeated_windows
 
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
@@ -95,38 +95,88 @@ def suffix_array(codes: np.ndarray) -> np.ndarray:
     return np.array(out)
 
 
+def layout(strings: list[bytes], windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The strings' bytes as codes from 1, each string with a 0 behind, and where the windows begin."""
+    sizes = np.array([len(s) + 1 for s in strings])
+    codes = np.frombuffer(b"\n".join(strings) + b"\n", np.uint8).astype(np.uint16) + np.uint16(1)
+    codes[np.cumsum(sizes) - 1] = 0
+    return codes, np.repeat(np.cumsum(sizes) - sizes, windows) + steps(windows)
+
+
+def steps(n: np.ndarray) -> np.ndarray:
+    """0, 1, ... n[0] - 1, 0, 1, ... n[1] - 1, ..."""
+    return np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+
+
+def several(codes: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
+    """Which windows another one has the hash of: all that are equal to another, and hardly more."""
+    _, inverse, counts = np.unique(gram_hashes(codes.astype(np.uint64) * BASE, width)[at], return_inverse=True, return_counts=True)
+    return counts[inverse] > 1
+
+
 def first_places(strings: list[bytes], keys: np.ndarray, docs: np.ndarray, starts: np.ndarray, windows: np.ndarray, plan: Plan) -> tuple[np.ndarray, np.ndarray]:
-    """The smallest doc_id of each window. Strings that alone hold their minimiser can share no
-    window with another; the others go into one suffix array, where equal windows are neighbours."""
+    """The smallest doc_id of each window.
+
+    Windows of a string that alone holds its minimiser are in no other. Of the others, what can be in
+    several strings is cut out; equal pieces are one piece, and the pieces that still share windows
+    go into one suffix array, where equal windows are neighbours.
+    """
     out = np.repeat(docs, windows)
     _, inverse, counts = np.unique(keys, return_inverse=True, return_counts=True)
-    several = np.flatnonzero(counts[inverse] > 1)
-    if len(several):
-        text = b"".join(strings[i] + b"\n" for i in several.tolist())
-        sizes = np.array([len(strings[i]) + 1 for i in several.tolist()])
-        codes = np.frombuffer(text, np.uint8).astype(np.int64) + 1
-        codes[np.cumsum(sizes) - 1] = 0  # ends a string
-        m = windows[several]
-        step = np.arange(int(m.sum())) - np.repeat(np.cumsum(m) - m, m)
-        at = np.repeat(np.cumsum(sizes) - sizes, m) + step
-        target = np.repeat((np.cumsum(windows) - windows)[several], m) + step
-        window_of = np.full(len(codes), -1)
-        window_of[at] = target
-        order = suffix_array(codes)
-        order = order[window_of[order] >= 0]
-        raw = codes.astype(np.uint16)
-        same = np.ones(len(order), bool)
-        for k in range(plan.width):
-            unit = raw[order + k]
-            same[1:] &= unit[1:] == unit[:-1]
-        same[0] = False
-        group = np.cumsum(~same) - 1
-        target = window_of[order]
-        least = np.minimum.reduceat(out[target], np.flatnonzero(~same))
-        out[target] = least[group]
+    some = np.flatnonzero(counts[inverse] > 1)
+    if not len(some):
+        return out, out
+    texts, m = [strings[i] for i in some.tolist()], windows[some]
+    codes, at = layout(texts, m)
+    target = np.repeat((np.cumsum(windows) - windows)[some], m) + steps(m)
+    shared = several(codes, at, plan.width)
+    begins = shared.copy()
+    begins[1:] &= ~shared[:-1] | (at[1:] != at[:-1] + 1)
+    begin = np.flatnonzero(begins)
+    n = np.diff(np.append(np.cumsum(shared)[begin] - 1, shared.sum()))
+    if not len(begin):
+        return out, out
+    raw = codes.astype(np.uint8) - np.uint8(1)  # 256 is 0 again and goes back to 255
+    data, first = raw.tobytes(), at[begin]
+    index: dict[bytes, int] = {}
+    own = np.array([index.setdefault(data[a : a + k], len(index)) for a, k in zip(first.tolist(), (n + plan.width - 1).tolist(), strict=True)], np.int64)
+    least = np.full(len(index), np.iinfo(np.int64).max)
+    np.minimum.at(least, own, out[target[begin]])
+    size = np.zeros(len(index), np.int64)
+    size[own] = n
+    found = np.repeat(least, size)
+    pieces = list(index)
+    codes, at = layout(pieces, size)
+    again = np.unique(np.repeat(np.arange(len(size)), size)[several(codes, at, plan.width)])
+    if len(again):
+        k = size[again]
+        place = np.repeat((np.cumsum(size) - size)[again], k) + steps(k)
+        found[place] = least_by_window([pieces[i] for i in again.tolist()], k, found[place], plan.width)
+    cut = np.cumsum(size) - size
+    step = steps(n)
+    out[target[np.repeat(begin, n) + step]] = found[np.repeat(cut[own], n) + step]
     return out, out
 
 
+def least_by_window(strings: list[bytes], windows: np.ndarray, values: np.ndarray, width: int) -> np.ndarray:
+    """The least of ``values`` (one a window) over equal windows, by the strings' suffix array."""
+    codes, at = layout(strings, windows)
+    window_of = np.full(len(codes), -1)
+    window_of[at] = np.arange(len(at))
+    order = suffix_array(codes.astype(np.int64))
+    order = order[window_of[order] >= 0]
+    same = np.ones(len(order), bool)
+    for k in range(width):
+        unit = codes[order + k]
+        same[1:] &= unit[1:] == unit[:-1]
+    same[0] = False
+    window = window_of[order]
+    least = np.minimum.reduceat(values[window], np.flatnonzero(~same))
+    out = values.copy()
+    out[window] = least[np.cumsum(~same) - 1]
+    return out
+
+
 def digest(block: Block, removed: np.ndarray) -> pa.RecordBatch:
     raw = np.frombuffer(block.data, np.uint8)
     n_removed, n_spans, sha = [], [], []
