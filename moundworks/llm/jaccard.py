@@ -191,7 +191,25 @@ def intersections(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray, columns:
 
 
 def links(docs: DataFrame, words: int = 5, threshold: float = 0.8, tolerance: float = 1e-6, block: int = 2048) -> DataFrame:
-    """Per row of ``docs``: doc_id, class_id, copy_id, n_links.
+    """Per row of ``docs``: doc_id, class_id, copy_id, n_links."""
+    signed, of_class = joined(docs, words, threshold, tolerance, block)
+    lowest = of_class.groupBy("component").agg(F.min("copy_id").alias("class_id"))
+    return signed.join(of_class.join(lowest, "component"), "name").select("doc_id", "class_id", "copy_id", "n_links")
+
+
+def one_of_each(docs: DataFrame, **options: float) -> DataFrame:
+    """``docs`` with one row of each class: the least doc_id's (of its texts the least digest; null
+    last). Rows of one doc_id and text are one row."""
+    _, of_class = joined(docs, **options)
+    first = of_class.groupBy("component").agg(F.min(F.struct(F.col("copy_id").isNull(), "copy_id", "name")).alias("first"))
+    first = shared.staged(first.select(F.col("first.copy_id").alias("_id"), F.col("first.name").alias("_name")), "kept")
+    named = docs.withColumns({"_own": F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary"))), "_own_id": F.col("doc_id").cast("long")})
+    kept = named.join(first, (named._own == first._name) & named._own_id.eqNullSafe(first._id), "left_semi")
+    return kept.dropDuplicates(["_own", "_own_id"]).select(*docs.columns)
+
+
+def joined(docs: DataFrame, words: int = 5, threshold: float = 0.8, tolerance: float = 1e-6, block: int = 2048) -> tuple[DataFrame, DataFrame]:
+    """Rows of ``docs`` as (doc_id, name), and its texts as (name, copy_id, n_links, component).
 
     ``copy_id`` is the least doc_id with the same text; ``n_links`` how many other texts have a
     Jaccard similarity of at least ``threshold`` with this one on sets of ``words``-word shingles
@@ -216,7 +234,7 @@ def links(docs: DataFrame, words: int = 5, threshold: float = 0.8, tolerance: fl
                 keys = (band >> np.uint64(6) << np.uint64(5) | np.arange(VALUES // ROWS, dtype=np.uint64)).astype("<i8")
                 has = np.diff(cut) > 0
                 yield pa.RecordBatch.from_arrays(
-                    [some.column(0), pa.array([hashlib.blake2b(t, digest_size=16).digest() for t in texts], pa.binary()), pa.array([k if h else [] for k, h in zip(keys, has, strict=True)], pa.list_(pa.int64())), pa.array([v.tobytes() for v in values.astype(np.uint8)], pa.binary())],
+                    [some.column(0), pa.array([hashlib.md5(t, usedforsecurity=False).digest() for t in texts], pa.binary()), pa.array([k if h else [] for k, h in zip(keys, has, strict=True)], pa.list_(pa.int64())), pa.array([v.tobytes() for v in values.astype(np.uint8)], pa.binary())],
                     names=["doc_id", "name", "bands", "sig"],
                 )
 
@@ -268,7 +286,7 @@ def links(docs: DataFrame, words: int = 5, threshold: float = 0.8, tolerance: fl
             for a in range(0, batch.num_rows, 500):
                 some = batch.slice(a, 500)
                 t = some.column("text").to_pylist()
-                same = [hashlib.blake2b(x, digest_size=16).digest() == n for x, n in zip(t, some.column("name").to_pylist(), strict=True)]
+                same = [hashlib.md5(x, usedforsecurity=False).digest() == n for x, n in zip(t, some.column("name").to_pylist(), strict=True)]
                 hashes, cut = shingles(t, words)
                 sets = pa.array([np.unique(hashes[i:j]).tobytes() for i, j in zip(cut, cut[1:], strict=False)], pa.binary())
                 out = pa.RecordBatch.from_arrays([some.column("component"), some.column("n"), some.column("name"), sets], names=["component", "n", "name", "shingles"])
@@ -312,9 +330,7 @@ def links(docs: DataFrame, words: int = 5, threshold: float = 0.8, tolerance: fl
     counts = found.groupBy("name").agg(F.sum("n").alias("n_links"))
     group = components(found, "name", "root").select(F.col("node").alias("name"), "component")
     of_class = classes.select("name", "copy_id").join(counts, "name", "left").join(group, "name", "left").select("name", "copy_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component", "name").alias("component"))
-    of_class = shared.staged(of_class, "of-class")
-    lowest = of_class.groupBy("component").agg(F.min("copy_id").alias("class_id"))
-    return signed.select("doc_id", "name").join(of_class.join(lowest, "component"), "name").select("doc_id", "class_id", "copy_id", "n_links")
+    return signed.select("doc_id", "name"), shared.staged(of_class, "of-class")
 
 
 def linked(values: np.ndarray, sets: list[np.ndarray], size: np.ndarray, a: np.ndarray, b: np.ndarray, least: list[int], threshold: float) -> np.ndarray:

@@ -10,13 +10,13 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from moundworks.llm.repeats import NO_ID, Block, Plan, repeated_windows
 
 SCHEMA = "doc_id long, n_words long, n_removed long, kept_sha256 string"
-TEXTS = "doc_id long, kept string"
 SLICE = 1 << 17  # windows made into rows at a time
 
 
@@ -91,3 +91,22 @@ def dedup(docs: DataFrame, width: int = 20, gram: int = 8, **sizes: int) -> Data
     """
     hot = sizes.pop("hot_blocks", 4096)
     return repeated_windows(docs, Plan("words", width, gram, True, hot), first_places, digest, SCHEMA, **sizes)
+
+
+def rewrite(docs: DataFrame, width: int = 20, gram: int = 8, **sizes: int) -> DataFrame:
+    """``docs`` with the repeated words taken out of ``text`` (what is left is joined by one space) and
+    ``n_chars``, where there is such a column, counted anew. Rows that lose nothing stay as they were,
+    and rows that lose all stay with an empty text. Cases are those of ``dedup``."""
+    hot = sizes.pop("hot_blocks", 4096)
+
+    def put(block: Block, removed: np.ndarray, rows: pa.RecordBatch) -> pa.RecordBatch:
+        texts, _, lost = kept_texts(block, removed)
+        new = [t.decode("utf-8", "replace") if k else None for t, k in zip(texts, lost, strict=True)]
+        columns = {f.name: c for f, c in zip(rows.schema, rows.columns, strict=True)}
+        changed = pa.array([bool(k) for k in lost])
+        columns["text"] = pc.if_else(changed, pa.array(new, pa.string()).cast(columns["text"].type), columns["text"])
+        if "n_chars" in columns:
+            columns["n_chars"] = pc.if_else(changed, pc.utf8_length(pa.array(new, pa.string())).cast(columns["n_chars"].type), columns["n_chars"])
+        return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+
+    return repeated_windows(docs, Plan("words", width, gram, True, hot), first_places, put, docs.schema, whole_rows=True, **sizes)

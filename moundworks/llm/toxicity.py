@@ -151,6 +151,26 @@ def logistic(row: np.ndarray, column: np.ndarray, scale: np.ndarray, y: np.ndarr
     return w, float(b)
 
 
+def scores(texts: list[str | None], model: Model) -> np.ndarray:
+    wanted, out = model.weight != 0, [np.zeros(0)]
+    for c, ends in groups([t or "" for t in texts]):
+        text, slot = present(c, ends, model.bits, wanted)
+        z = np.bincount(text, model.weight[slot], len(ends)) + model.bias
+        out.append(1 / (1 + np.exp(-np.clip(z, -40, 40))))
+    return np.concatenate(out)
+
+
+def without_toxic(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
+    """The rows of ``docs``, whole, whose score is below the threshold."""
+    shared.ship(docs.sparkSession)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(scores(batch.column("text").to_pylist(), model) < threshold))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id and score (0 to 1, higher: likelier toxic) of every whole text; a null text is empty
     and an empty one gets what the bias alone says."""
@@ -158,14 +178,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = model.weight != 0
         for batch in batches:
-            out = []
-            for c, ends in groups(batch.column(1).to_pylist()):
-                text, slot = present(c, ends, model.bits, wanted)
-                z = np.bincount(text, model.weight[slot], len(ends)) + model.bias
-                out.append(1 / (1 + np.exp(-np.clip(z, -40, 40))))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(out) if out else [], pa.float64())], names=["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores(batch.column(1).to_pylist(), model))], names=["doc_id", "score"])
 
     kind = dict(docs.dtypes)["doc_id"]
     return rows.mapInArrow(run, f"doc_id {kind}, score double")
