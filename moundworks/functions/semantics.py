@@ -7,6 +7,7 @@ frame before the current row.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
@@ -76,8 +77,6 @@ ERF = (0.3275911, 0.254829592, -0.284496736, 1.421413741, -1.453152027, 1.061405
 
 def exact_normal_cdf(z: Column) -> Column:
     """The same without the approximation, in Arrow batches."""
-    import pandas as pd
-
     @F.pandas_udf("double")
     def phi(s: pd.Series) -> pd.Series:
         from math import erfc
