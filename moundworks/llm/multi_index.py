@@ -100,7 +100,8 @@ def search(vectors: DataFrame, every: int = 50, k: int = 5, centroids: int = 16,
     Centroids and the share of cells to visit are fitted on the ``sample_rows`` vectors whose vec_id
     has the smallest hash; every vector is indexed. Vectors that are null or zero, that hold null or
     non-finite components, or whose length is not the sample's most frequent one, and rows with a null
-    vec_id, take no part. A query never finds rows with its own vec_id. No vectors give no rows.
+    vec_id, take no part. A query never finds rows with its own vec_id. Rows of one vec_id are one
+    query and one entry, whose score is the best of theirs. No vectors give no rows.
     """
     spark = vectors.sparkSession
     shared.ship(spark)
@@ -161,6 +162,7 @@ def search(vectors: DataFrame, every: int = 50, k: int = 5, centroids: int = 16,
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in out], names=["query_id", "vec_id", "score"])
 
     pairs = queries.join(packed, ["cell", "shard"]).select("entries", "queries").mapInArrow(rank, "query_id long, vec_id long, score double")
+    pairs = pairs.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return pairs.select("*", F.row_number().over(best).alias("rank")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
