@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from moundworks.llm import jaccard, langid, mixing, multi_index, packed_ids, packing, suffix, superkmers, toxicity, weighted_fingerprints
+from moundworks.llm import jaccard, langid, mixing, multi_index, oracles, packed_ids, packing, suffix, superkmers, toxicity, weighted_fingerprints
 from moundworks.llm.shared import table
 
 
@@ -75,4 +75,5 @@ QUERIES = {
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
     "op10_weighted_fingerprints": op10_weighted_fingerprints,
 }
-ORACLES: dict[str, str] = {}
+#: Removal of byte strings can be said in SQL too, but takes minutes on the smallest table.
+ORACLES = {"op6_super_kmer_dedup": oracles.OP6, "op9_ngram_jaccard_join": oracles.OP9}

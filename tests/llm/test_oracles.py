@@ -1,0 +1,22 @@
+"""Operators that SQL can express give DuckDB's rows over whole tables."""
+
+from pathlib import Path
+
+import duckdb
+import pytest
+
+from moundworks.llm import queries
+
+SF = Path("/root/testdata/sf0.001")
+
+
+@pytest.mark.skipif(not SF.exists(), reason="no test tables")
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_oracle(spark, name):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    want = con.execute(queries.ORACLES[name])
+    columns = [d[0] for d in want.description]
+    df = queries.QUERIES[name](spark, str(SF))
+    assert sorted(df.columns) == sorted(columns)
+    assert sorted(map(tuple, df.select(columns).collect())) == sorted(want.fetchall())
