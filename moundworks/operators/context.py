@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from moundworks.functions.semantics import batting_team, drop_null_keys, safe_div
@@ -16,58 +16,67 @@ def between(df: DataFrame, start: str | None, end: str | None, column: str = "ga
     return df if end is None else df.where(F.col(column) <= F.lit(end).cast("date"))
 
 
-def team_days(pitches: DataFrame, start: str | None = None, end: str | None = None) -> DataFrame:
-    """Strikeouts and plate appearances of each batting team on each date."""
-    x = between(pitches, start, end).select("game_date", batting_team().alias("Team"), "events")
-    x = drop_null_keys(canonical_teams(x, "Team"), "game_date", "Team")
-    return x.groupBy("game_date", "Team").agg(F.count_if(F.col("events") == STRIKEOUT).alias("so"), F.count("events").alias("pa"))
+def team_days(pitches: DataFrame, start: str | None = None, end: str | None = None, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Strikeouts and plate appearances of each batting team on each date. ``keys`` (such as season)
+    keep runs of dates apart, here and below."""
+    x = between(pitches, start, end).select(*keys, "game_date", batting_team().alias("Team"), "events")
+    x = drop_null_keys(canonical_teams(x, "Team"), *keys, "game_date", "Team")
+    return x.groupBy(*keys, "game_date", "Team").agg(F.count_if(F.col("events") == STRIKEOUT).alias("so"), F.count("events").alias("pa"))
 
 
-def opponent_k(pitches: DataFrame, start: str | None = None, end: str | None = None, default: float = 0.055, compat: bool = True) -> DataFrame:
+def opponent_k(pitches: DataFrame, start: str | None = None, end: str | None = None, default: float = 0.055, compat: bool = True, keys: tuple[str, ...] = ()) -> DataFrame:
     """Each team's strikeout rate over its dates before this one.
 
     In the compatible form a team's first date carries the whole total of the team before it in
     alphabetical order, as the shift over the sorted table did; the strict form starts from nothing.
     The table of totals has a row a team.
     """
-    days = team_days(pitches, start, end)
-    before = Window.partitionBy("Team").orderBy("game_date").rowsBetween(Window.unboundedPreceding, -1)
+    days = team_days(pitches, start, end, keys)
+    before = Window.partitionBy(*keys, "Team").orderBy("game_date").rowsBetween(Window.unboundedPreceding, -1)
     days = days.withColumns({c: F.sum(n).over(before) for c, n in (("cum_so", "so"), ("cum_pa", "pa"))})
     if compat:
-        by_name = Window.orderBy("Team")
-        totals = days.groupBy("Team").agg(F.sum("so").alias("so"), F.sum("pa").alias("pa"))
-        carried = totals.select("Team", F.lag("so").over(by_name).alias("carry_so"), F.lag("pa").over(by_name).alias("carry_pa"))
-        days = days.join(carried, "Team")
+        by_name = Window.partitionBy(*keys).orderBy("Team")
+        totals = days.groupBy(*keys, "Team").agg(F.sum("so").alias("so"), F.sum("pa").alias("pa"))
+        carried = totals.select(*keys, "Team", F.lag("so").over(by_name).alias("carry_so"), F.lag("pa").over(by_name).alias("carry_pa"))
+        days = days.join(carried, [*keys, "Team"])
     else:
         days = days.withColumns({"carry_so": F.lit(0), "carry_pa": F.lit(0)})
     rate = safe_div(F.coalesce("cum_so", "carry_so", F.lit(0)), F.coalesce("cum_pa", "carry_pa", F.lit(0)), default)
-    return days.select("game_date", "Team", rate.alias("K_pct_so_far"))
+    return days.select(*keys, "game_date", "Team", rate.alias("K_pct_so_far"))
 
 
-def park_factors(pitches: DataFrame, start: str | None = None, end: str | None = None, compat: bool = True) -> DataFrame:
+def park_factors(pitches: DataFrame, start: str | None = None, end: str | None = None, compat: bool = True, keys: tuple[str, ...] = ()) -> DataFrame:
     """A park's strikeouts per pitch with a batter over the league's, which counts rows without a park
     too. The compatible form groups before team codes are made canonical, so two codes of a team stay
     two rows."""
-    x = between(pitches, start, end).where(F.col("pitch_type").isNotNull()).select("home_team", "events", "batter")
+    x = between(pitches, start, end).where(F.col("pitch_type").isNotNull()).select(*keys, "home_team", "events", "batter")
     if not compat:
         x = canonical_teams(x, "home_team")
-    parks = x.groupBy("home_team").agg(F.count_if(F.col("events") == STRIKEOUT).alias("k"), F.count("batter").alias("n"))
-    every = Window.partitionBy()  # a row a park
+    parks = x.groupBy(*keys, "home_team").agg(F.count_if(F.col("events") == STRIKEOUT).alias("k"), F.count("batter").alias("n"))
+    every = Window.partitionBy(*keys)  # a row a park
     parks = parks.withColumn("league", safe_div(F.sum("k").over(every), F.sum("n").over(every)))
-    parks = drop_null_keys(parks, "home_team").select(F.col("home_team").alias("Team_abbr"), safe_div(safe_div("k", "n"), "league").alias("K_park_factor"))
+    parks = drop_null_keys(parks, *keys, "home_team").select(*keys, F.col("home_team").alias("Team_abbr"), safe_div(safe_div("k", "n"), "league").alias("K_park_factor"))
     return canonical_teams(parks, "Team_abbr")
 
 
-def with_park(games: DataFrame, parks: DataFrame) -> DataFrame:
+def with_park(games: DataFrame, parks: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """Left join that also meets null with null; duplicate park rows give duplicate games."""
-    p = parks.select(F.col("Team_abbr").alias("_team"), F.col("K_park_factor").alias("park_factor_K"))
-    return games.join(p, F.col("home_team").eqNullSafe(F.col("_team")), "left").drop("_team")
+    p = parks.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("Team_abbr").alias("_team"), F.col("K_park_factor").alias("park_factor_K"))
+    return games.join(p, same(keys) & F.col("home_team").eqNullSafe(F.col("_team")), "left").drop("_team", *[f"_{k}" for k in keys])
 
 
-def with_opponent(games: DataFrame, rates: DataFrame) -> DataFrame:
+def with_opponent(games: DataFrame, rates: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """Left join by date and opponent; a date without a rate keeps null."""
-    r = rates.select(F.col("game_date").alias("_date"), F.col("Team").alias("_team"), F.col("K_pct_so_far").alias("opponent_k_pct"))
-    return games.join(r, (F.col("game_date") == F.col("_date")) & (F.col("opponent_team") == F.col("_team")), "left").drop("_date", "_team")
+    r = rates.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("game_date").alias("_date"), F.col("Team").alias("_team"), F.col("K_pct_so_far").alias("opponent_k_pct"))
+    on = same(keys) & (F.col("game_date") == F.col("_date")) & (F.col("opponent_team") == F.col("_team"))
+    return games.join(r, on, "left").drop("_date", "_team", *[f"_{k}" for k in keys])
+
+
+def same(keys: tuple[str, ...]) -> Column:
+    out = F.lit(True)
+    for k in keys:
+        out = out & (F.col(k) == F.col(f"_{k}"))
+    return out
 
 
 def with_static_opponent(games: DataFrame, rates: DataFrame) -> DataFrame:

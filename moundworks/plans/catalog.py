@@ -227,6 +227,16 @@ def enriched_games_strict(spark: SparkSession, sf: str) -> DataFrame:
     return features.enriched_games(pitches(spark, sf), compat=False)
 
 
+HALVES = {h: f"(SELECT * FROM pitches WHERE day(game_date) % 2 = {h})" for h in (0, 1)}
+
+
+@query(f"{o.P}, even AS {HALVES[0]}, odd AS {HALVES[1]} SELECT 0 AS season, * FROM ({o.enriched('even', True)}) a UNION ALL SELECT 1, * FROM ({o.enriched('odd', True)}) b")
+def enriched_by_season(spark: SparkSession, sf: str) -> DataFrame:
+    """Two runs of dates made at once, each as if alone."""
+    p = pitches(spark, sf).withColumn("season", F.day("game_date") % 2)
+    return features.enriched_games(p, by=("season", "pitcher"))
+
+
 @query("SELECT o_custkey, o_orderkey, CAST(o_orderdate AS DATE) AS o_orderdate FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY CAST(o_orderdate AS DATE) DESC, o_orderkey DESC) = 1")
 def latest_per_group(spark: SparkSession, sf: str) -> DataFrame:
     return games.latest(orders(spark, sf).select("o_custkey", "o_orderkey", "o_orderdate"), "o_custkey", "o_orderdate", "o_orderkey")
@@ -467,6 +477,12 @@ def mc_probs(spark: SparkSession, sf: str) -> DataFrame:
     return pricing.simulate(priced(spark, sf), draws=2000).select("pitcher_name", "k_line", "mc_p_over", "mc_p_under")
 
 
+@query()
+def simulated_ev(spark: SparkSession, sf: str) -> DataFrame:
+    x = views.view(spark, sf, views.PREDICTIONS).withColumnRenamed("k_pred_std", "hybrid_std").join(views.view(spark, sf, views.LINES), F.col("pitcher_name") == F.col("player"))
+    return pricing.simulated_ev(x, draws=2000).select("pitcher_name", "k_line", "expected_value", "over_pct", "under_pct")
+
+
 def trained(spark: SparkSession, sf: str, make) -> DataFrame:
     x = features.enriched_games(pitches(spark, sf), compat=False)
     return models.pipeline(make(x)).fit(x).transform(x).select("pitcher", "game_date", "strikeouts", "prediction")

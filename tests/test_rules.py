@@ -317,3 +317,16 @@ def test_order_and_partitions_do_not_matter(spark, pitches):
     want = sorted(features.enriched_games(pitches(rows).coalesce(1)).collect())
     random.Random(1).shuffle(rows)
     assert sorted(features.enriched_games(pitches(rows).repartition(7)).collect()) == want
+
+
+def test_bootstrap_and_comparison(spark):
+    rows = [(i, float(i % 7), float(2 * (i % 7)) + (i % 3)) for i in range(60)]
+    df = spark.createDataFrame(rows, "t int, a double, strikeouts double")
+    x = models.bootstrap(df, df.where("t < 5"), ["t"], models=4, make=models.ols, features=["a"])
+    assert x.count() == 20
+    assert x.select("model", "pred").distinct().count() > 4  # the resamples differ
+    e = pricing.ensemble(x).collect()
+    assert {r.k_pred_std for r in e} == {0.75}
+    c = models.comparison(df, df, {"ols": models.ols(), "ridge": models.ridge(df)}, ["t"], features=["a"]).collect()
+    assert [r.model for r in c] == ["ols", "ridge"]
+    assert all(r.Test_RMSE == pytest.approx(r.Test_MSE**0.5) and r.CV_Std >= 0 for r in c)
