@@ -125,23 +125,25 @@ def group_cuts(t: pa.Table, keys: list[str]) -> list[int]:
     return [*np.flatnonzero(change).tolist(), t.num_rows]
 
 
-class Forest:
-    def __init__(self, n: int) -> None:
-        self.up = list(range(n))
-
-    def root(self, i: int) -> int:
-        while self.up[i] != i:
-            self.up[i] = self.up[self.up[i]]
-            i = self.up[i]
-        return i
-
-    def join(self, i: int, j: int) -> None:
-        i, j = self.root(i), self.root(j)
-        if i != j:
-            self.up[max(i, j)] = min(i, j)
-
-    def links(self) -> list[tuple[int, int]]:
-        return [(self.root(i), i) for i in range(len(self.up)) if self.up[i] != i]
+def roots(ok: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A member of each member's connected part, by sweeps over the table of links."""
+    root = np.arange(int(max(a.max(initial=-1), b.max(initial=-1))) + 1)
+    seen = np.zeros(len(root), bool)
+    linked_a, linked_b = ok.any(axis=1), ok.any(axis=0)
+    for start in a[linked_a].tolist():
+        if seen[start]:
+            continue
+        new = np.zeros(len(root), bool)
+        new[start] = True
+        while new.any():
+            seen |= new
+            root[new] = start
+            found = np.zeros(len(root), bool)
+            rows, columns = new[a] & linked_a, new[b] & linked_b
+            found[b[ok[rows].any(axis=0)]] = True
+            found[a[ok[:, columns].any(axis=1)]] = True
+            new = found & ~seen
+    return root
 
 
 def connect(values: np.ndarray, side: np.ndarray, least: list[int]) -> list[tuple[int, int]]:
@@ -190,7 +192,7 @@ def intersections(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray, columns:
     return out.astype(np.int64)
 
 
-def links(docs: DataFrame, words: int = 5, threshold: float = 0.8, tolerance: float = 1e-6, block: int = 2048) -> DataFrame:
+def links(docs: DataFrame, words: int = 5, threshold: float = 0.8, tolerance: float = 1e-6, block: int = 1024) -> DataFrame:
     """Per row of ``docs``: doc_id, class_id, copy_id, n_links."""
     signed, of_class = joined(docs, words, threshold, tolerance, block)
     lowest = of_class.groupBy("component").agg(F.min("copy_id").alias("class_id"))
@@ -208,7 +210,7 @@ def one_of_each(docs: DataFrame, **options: float) -> DataFrame:
     return kept.dropDuplicates(["_own", "_own_id"]).select(*docs.columns)
 
 
-def joined(docs: DataFrame, words: int = 5, threshold: float = 0.8, tolerance: float = 1e-6, block: int = 2048) -> tuple[DataFrame, DataFrame]:
+def joined(docs: DataFrame, words: int = 5, threshold: float = 0.8, tolerance: float = 1e-6, block: int = 1024) -> tuple[DataFrame, DataFrame]:
     """Rows of ``docs`` as (doc_id, name), and its texts as (name, copy_id, n_links, component).
 
     ``copy_id`` is the least doc_id with the same text; ``n_links`` how many other texts have a
@@ -317,11 +319,8 @@ def joined(docs: DataFrame, words: int = 5, threshold: float = 0.8, tolerance: f
                     n = np.zeros(hi - lo, np.int64)
                     n[a] += ok.sum(axis=1)
                     n[b] += ok.sum(axis=0)
-                    forest = Forest(hi - lo)
-                    p, q = np.nonzero(ok)
-                    for x, y in zip(a[p].tolist(), b[q].tolist(), strict=True):
-                        forest.join(x, y)
-                    out += [(name[lo + k], int(n[k]), name[lo + forest.root(k)]) for k in np.flatnonzero(n).tolist()]
+                    root = roots(ok, a, b)
+                    out += [(name[lo + k], int(n[k]), name[lo + int(root[k])]) for k in np.flatnonzero(n).tolist()]
             if out:
                 x = list(zip(*out, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(x[0], pa.binary()), pa.array(x[1], pa.int64()), pa.array(x[2], pa.binary())], names=["name", "n", "root"])

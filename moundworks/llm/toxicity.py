@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 from moundworks.llm import shared
 
 ORDERS = (3, 4, 5, 6, 7)
-GROUP = 1 << 20  # characters of text whose n-grams are hashed at a time
+GROUP = 1 << 18  # characters of text whose n-grams are hashed at a time
+ROWS = 500  # texts that are Python strings at a time
 
 
 @dataclass
@@ -166,7 +167,9 @@ def without_toxic(docs: DataFrame, model: Model, threshold: float = 0.7) -> Data
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array(scores(batch.column("text").to_pylist(), model) < threshold))
+            for a in range(0, batch.num_rows, ROWS):
+                some = batch.slice(a, ROWS)
+                yield some.filter(pa.array(scores(some.column("text").to_pylist(), model) < threshold))
 
     return docs.mapInArrow(keep, docs.schema)
 
@@ -179,7 +182,9 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores(batch.column(1).to_pylist(), model))], names=["doc_id", "score"])
+            for a in range(0, batch.num_rows, ROWS):
+                some = batch.slice(a, ROWS)
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(scores(some.column(1).to_pylist(), model))], names=["doc_id", "score"])
 
     kind = dict(docs.dtypes)["doc_id"]
     return rows.mapInArrow(run, f"doc_id {kind}, score double")
