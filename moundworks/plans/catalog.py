@@ -40,7 +40,7 @@ def pitches(spark: SparkSession, sf: str) -> DataFrame:
 
 def scratch(spark: SparkSession) -> str:
     """A new folder that the whole cluster sees; a temporary one where none is set."""
-    top = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="moundworks-")
+    top = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="moundworks-")
     return f"{top.rstrip('/')}/sink-{uuid.uuid4().hex}"
 
 
