@@ -16,7 +16,7 @@ def shared_dir(spark: SparkSession) -> str:
     names one, else the context's own checkpoint folder; only where neither is set (tests on one
     machine) a temporary folder is made and set."""
     sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir")
+    named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         now = sc._jsc.sc().getCheckpointDir()
         named = now.get() if now.isDefined() else None
