@@ -12,19 +12,23 @@ plain minimum that is combined before any shuffle.
 
 from __future__ import annotations
 
+import math
+from functools import lru_cache
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from moundworks.llm import shared
 
 LEAST = -(1 << 63)  # orders null doc_ids, before all others
-SPACE = "[\\x20\\x09-\\x0D]+"
+TURN = 16
 
 
-def ranges(docs: DataFrame, order: Column, n: int) -> tuple[Column, dict[int, int]]:
+def ranges(docs: DataFrame, order: Column, n: int) -> tuple[Column, DataFrame]:
     """Deals rows to at most ``n`` ranges of doc_id of like size. Returns the range's number and, for
-    the first doc_id of each range that has rows, the range before it (before the first: the last).
-    ``n`` bounds all that comes to the driver."""
+    the first doc_id of each range that has rows (``first``), the range before it (``into``; before
+    the first range: the last). ``n`` bounds all that comes to the driver and goes back."""
     cuts = docs.agg(F.percentile_approx(order, [i / n for i in range(1, n)], 20 * n)).first()[0] if n > 1 else None
     cuts = sorted(set(cuts or []))
 
@@ -37,37 +41,62 @@ def ranges(docs: DataFrame, order: Column, n: int) -> tuple[Column, dict[int, in
     number = tree(0, len(cuts)).cast("long")
     firsts = sorted((r["range"], r["first"]) for r in docs.groupBy(number.alias("range")).agg(F.min(order).alias("first")).collect())
     before = [firsts[-1][0], *(r for r, _ in firsts)] if firsts else []
-    return number, {first: before[i] for i, (_, first) in enumerate(firsts)}
+    return number, docs.sparkSession.createDataFrame([(first, before[i]) for i, (_, first) in enumerate(firsts)], "first long, into long")
 
 
 def with_next(docs: DataFrame) -> DataFrame:
     """Each document beside the next one's text: range, rn (its place there), doc_id, text,
     next_text, and extra: true for a copy of the next range's first document, which closes a range."""
     order = F.coalesce("doc_id", F.lit(LEAST))
-    n = min(2048, 2 * shared.parts(docs.sparkSession, shared.input_bytes(docs), 8 << 20))
-    number, before = ranges(docs, order, n)
+    tasks = shared.parts(docs.sparkSession, shared.input_bytes(docs), 2 << 20)
+    number, firsts = ranges(docs, order, min(512, 2 * tasks))
     real = docs.select(number.alias("range"), F.lit(False).alias("extra"), order.alias("order"), "text")
-    extra = docs.where(order.isin(list(before)) if before else F.lit(False))
-    pairs = F.create_map(*[F.lit(x) for kv in before.items() for x in kv]) if before else F.create_map(F.lit(0).cast("long"), F.lit(0).cast("long"))
-    extra = extra.select(pairs[order].cast("long").alias("range"), F.lit(True).alias("extra"), order.alias("order"), "text")
+    extra = docs.join(F.broadcast(firsts), order == F.col("first"))  # a row a range
+    extra = extra.select(F.col("into").alias("range"), F.lit(True).alias("extra"), order.alias("order"), "text")
     by = Window.partitionBy("range").orderBy("extra", "order", F.xxhash64("text"))
-    return real.unionByName(extra).select("range", "extra", "order", "text", F.row_number().over(by).alias("rn"), F.lead("text", 1, "").over(by).alias("next_text"))
+    dealt = real.unionByName(extra).repartition(tasks, "range")
+    return dealt.select("range", "extra", "order", "text", F.row_number().over(by).alias("rn"), F.lead("text", 1, "").over(by).alias("next_text"))
+
+
+def gamma_quantile(u: float) -> float:
+    """Of Gamma(2, 1), whose distribution is 1 - exp(-x) (1 + x); by bisection on log x."""
+    low, high = -40.0, 5.0
+    for _ in range(80):
+        mid = (low + high) / 2
+        x = math.exp(mid)
+        # x * x / 2 stands for the difference where that would lose its digits
+        p = x * x / 2 * (1 - 2 * x / 3) if x < 1e-4 else 1 - math.exp(-x) * (1 + x)
+        low, high = (mid, high) if p < u else (low, mid)
+    return math.exp(high)
+
+
+STEPS, LEVELS = 256, 6
 
 
-def value(term: str, log_weight: Column, k: int) -> Column:
-    """Sample k's value of a term."""
-    u, v = F.xxhash64(F.col(term), F.lit(2 * k)), F.xxhash64(F.col(term), F.lit(2 * k + 1))
+@lru_cache
+def tables() -> tuple[np.ndarray, np.ndarray]:
+    """Quantiles of r at even steps; and of ln c, level after level, at steps from 0 to each of 1, 1/16,
+    1/256, ...: the smaller u, the finer."""
+    r = np.array([gamma_quantile((i + 0.5) / STEPS) for i in range(STEPS)])
+    c = np.array([math.log(gamma_quantile((i + 0.5) / STEPS / 16**k)) for k in range(LEVELS) for i in range(STEPS)])
+    return r, c
 
-    def uniform(x: Column, shift: int, bits: int) -> Column:
-        return (F.shiftrightunsigned(x, shift).bitwiseAND(F.lit((1 << bits) - 1)).cast("double") + 0.5) * (0.5**bits)
 
-    r = -F.ln(uniform(u, 0, 21) * uniform(u, 21, 21))
-    log_c = F.ln(-F.ln(uniform(u, 42, 21) * uniform(v, 0, 31)))
-    b = uniform(v, 31, 31)
-    return log_c - r * (F.floor(log_weight / r + b).cast("double") - b + 1.0)
+def value(h: Column, log_weight: str) -> Column:
+    """A term's value in one sample, from its hash there. Logarithms would cost most, so r and ln c
+    come from tables of the gamma distribution's quantiles, and one hash has the bits of r, b and c."""
+    r_table, c_table = tables()
+    r = F.lit(r_table)[F.shiftrightunsigned(h, 56).cast("int")]
+    b = F.shiftrightunsigned(h, 32).bitwiseAND(F.lit((1 << 24) - 1)).cast("double") * (0.5**24) + 0.5**25
+    x = h.bitwiseAND(F.lit((1 << 32) - 1))
+    step = F.when(x >= 1 << 28, F.shiftright(x, 24))
+    for level in range(1, LEVELS - 1):
+        step = step.when(x >= 1 << (28 - 4 * level), F.shiftright(x, 24 - 4 * level) + level * STEPS)
+    step = step.otherwise(F.shiftright(x, 28 - 4 * LEVELS) + (LEVELS - 1) * STEPS)
+    return F.lit(c_table)[step.cast("int")] - r * (F.floor(F.col(log_weight) / r + b).cast("double") - b + 1.0)
 
 
-def fingerprints(docs: DataFrame, samples: int = 64) -> DataFrame:
+def fingerprints(docs: DataFrame, samples: int = 48) -> DataFrame:
     """Per row of ``docs``: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint,
     near_edited, near_next.
 
@@ -82,18 +111,42 @@ def fingerprints(docs: DataFrame, samples: int = 64) -> DataFrame:
     part = F.floor(n_chars / 4).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), (n_chars - part).cast("int")), F.substring("next_text", F.lit(1), part))
 
-    words = F.split(F.trim(F.translate("text", "\t\n\x0b\f\r", "     ")), " +")
-    both = rows.select("range", "rn", F.explode(F.array(F.struct("text", F.lit(1).alias("own"), F.lit(0).alias("other")), F.struct(edited.alias("text"), F.lit(0).alias("own"), F.lit(1).alias("other")))).alias("x"))
-    both = both.select("range", "rn", "x.own", "x.other", F.translate(F.col("x.text"), "\t\n\x0b\f\r", "     ").alias("text")).select("range", "rn", "own", "other", words.alias("w"))
-    terms = both.select("range", "rn", "own", "other", F.inline(F.arrays_zip(F.col("w").alias("a"), F.slice("w", F.lit(2), F.size("w")).alias("b"))))
+    # words that end before the last quarter are common to both texts: they are cut and counted once
+    def cut(x: Column) -> Column:
+        return F.array_remove(F.split(x, " "), "")
+
+    kept = F.substring("text", F.lit(1), (n_chars - part).cast("int"))
+    blank = [F.translate(x, "\t\n\x0b\f\r", "     ") for x in (kept, F.substring("text", (n_chars - part + 1).cast("int"), part), F.substring("next_text", F.lit(1), part))]
+    x = rows.select("range", "rn", *[c.alias(n) for n, c in zip(("kept", "last", "next"), blank, strict=True)])
+    x = x.withColumn("torn", F.substring_index("kept", " ", -1))
+    x = x.select("range", "rn", cut(F.expr("left(kept, length(kept) - length(torn))")).alias("head"), cut(F.concat("torn", "last")).alias("own"), cut(F.concat("torn", "next")).alias("other"))
+    seam = F.when(F.size("head") > 0, F.slice("head", -1, 1)).otherwise(F.array().cast("array<string>"))
+
+    def pairs(w: Column, end: int) -> Column:
+        return F.arrays_zip(F.slice(w, F.lit(1), F.greatest(F.size(w) - 1 + end, F.lit(0))).alias("a"), F.slice(w, F.lit(2), F.greatest(F.size(w), F.lit(0))).alias("b"))
+
+    def rest(c: str) -> Column:  # from the last common word on; no word at all is one empty word
+        w = F.concat(seam, F.col(c))
+        return F.when(F.size(w) == 0, F.array(F.lit(""))).otherwise(w)
+
+    x = x.select("range", "rn", pairs(F.col("head"), 0).alias("p0"), pairs(rest("own"), 1).alias("p1"), pairs(rest("other"), 1).alias("p2"))
+    x = x.select("range", "rn", F.inline(F.array(*[F.struct(F.col(f"p{i}").alias("p"), F.lit(own).alias("own"), F.lit(other).alias("other")) for i, own, other in ((0, 1, 1), (1, 1, 0), (2, 0, 1))])))
+    terms = x.select("range", "rn", "own", "other", F.inline("p"))
     weighted = terms.groupBy("range", "rn", F.xxhash64("a", "b").alias("term")).agg(F.sum("own").alias("own"), F.sum("other").alias("other"))
-    weighted = weighted.select("range", "rn", "term", F.when(F.col("own") > 0, F.ln(F.col("own").cast("double"))).alias("own"), F.when(F.col("other") > 0, F.ln(F.col("other").cast("double"))).alias("other"))
-    least = weighted.groupBy("range", "rn").agg(*[F.min(value("term", F.col(c), k)).alias(f"{c}{k}") for k in range(samples) for c in ("own", "other")])
+    # a term that weighs the same in both texts has one value there: whose 0 is both's, 1 and 2 are one's
+    entry = [F.struct(F.lit(code).alias("whose"), F.ln(F.col(c).cast("double")).alias("w")) for code, c in ((0, "own"), (1, "own"), (2, "other"))]
+    entries = F.when(F.col("own") == F.col("other"), F.array(entry[0])).when(F.col("other") == 0, F.array(entry[1])).when(F.col("own") == 0, F.array(entry[2])).otherwise(F.array(entry[1], entry[2]))
+    # samples go by turns of TURN: more values in one aggregation are too much code for the compiler
+    weighted = weighted.select("range", "rn", "term", F.inline(entries)).select("range", "rn", "term", "whose", "w", F.explode(F.array(*map(F.lit, range(0, samples, TURN)))).alias("turn"))
+    one_by_one = [F.min(value(F.xxhash64("term", F.col("turn") + k), "w")).alias(f"v{k}") for k in range(TURN)]
+    least = weighted.groupBy("range", "rn", "whose", "turn").agg(*one_by_one)
+    least = least.groupBy("range", "rn", "turn").agg(*[F.min(F.when(F.col("whose") != not_of, F.col(f"v{k}"))).alias(f"{c}{k}") for c, not_of in (("own", 2), ("other", 1)) for k in range(TURN)])
 
     def bits(c: str) -> Column:
-        return F.unhex(F.concat(*[F.lpad(F.hex(F.xxhash64(f"{c}{k}").bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0") for k in range(samples)]))
+        return F.unhex(F.concat(*[F.lpad(F.hex(F.xxhash64(f"{c}{k}").bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0") for k in range(TURN)]))
 
-    prints = least.select("range", "rn", bits("own").alias("own"), bits("other").alias("other"))
+    turns = least.groupBy("range", "rn").agg(F.sort_array(F.collect_list(F.struct("turn", bits("own").alias("own"), bits("other").alias("other")))).alias("t"))  # samples / TURN entries
+    prints = turns.select("range", "rn", *[F.concat(*[F.col("t")[i][c] for i in range(samples // TURN)]).alias(c) for c in ("own", "other")])
     by = Window.partitionBy("range").orderBy("rn")
     prints = prints.select("range", "rn", "own", "other", F.lead("own").over(by).alias("next"))
 
