@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import shutil
 import tempfile
 import uuid
 import zipfile
 from pathlib import Path
+from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,8 +31,29 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def fresh_dir(spark: SparkSession, name: str) -> str:
-    """A new folder name under the shared folder (not created)."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new folder name under the shared folder (not created). What is written there serves frames
+    of this process, so it is removed when the process ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if not _made:
+        atexit.register(clean)
+    _made.append(path)
+    return path
+
+
+_made: list[str] = []
+
+
+def clean() -> None:
+    """Remove the folders that this process had written, as far as they can be reached."""
+    spark = SparkSession.getActiveSession()
+    while _made:
+        path = _made.pop()
+        with contextlib.suppress(Exception):  # the process ends; what stays is only space
+            if urlparse(path).scheme in ("", "file"):
+                shutil.rmtree(urlparse(path).path)
+            elif spark is not None:
+                p = spark._jvm.org.apache.hadoop.fs.Path(path)
+                p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def staged(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
