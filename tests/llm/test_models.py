@@ -205,6 +205,13 @@ def test_fingerprints_of_little(docs):
     assert len({x.fingerprint for x in got}) == 2
 
 
+def test_fingerprints_have_all_samples(docs):
+    text = " ".join(f"w{i}" for i in range(200))
+    got = weighted_fingerprints.fingerprints(docs([(1, text), (2, text[:400] + " x y z")])).collect()
+    assert all(len(bytes.fromhex(x[c])) == 4 * 64 for x in got for c in ("fingerprint", "edited_fingerprint"))
+    assert all((64 * x[c]).is_integer() and 0 < x[c] < 1 for x in got for c in ("near_edited", "near_next"))
+
+
 def test_gamma_tables():
     r, c = weighted_fingerprints.tables()
     assert r.mean() == pytest.approx(2, abs=0.02)
