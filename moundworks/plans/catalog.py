@@ -474,13 +474,13 @@ def format_lines(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def mc_probs(spark: SparkSession, sf: str) -> DataFrame:
-    return pricing.simulate(priced(spark, sf), draws=2000).select("pitcher_name", "k_line", "mc_p_over", "mc_p_under")
+    return pricing.simulate(priced(spark, sf)).select("pitcher_name", "k_line", "mc_p_over", "mc_p_under")
 
 
 @query()
 def simulated_ev(spark: SparkSession, sf: str) -> DataFrame:
     x = views.view(spark, sf, views.PREDICTIONS).withColumnRenamed("k_pred_std", "hybrid_std").join(views.view(spark, sf, views.LINES), F.col("pitcher_name") == F.col("player"))
-    return pricing.simulated_ev(x, draws=2000).select("pitcher_name", "k_line", "expected_value", "over_pct", "under_pct")
+    return pricing.simulated_ev(x).select("pitcher_name", "k_line", "expected_value", "over_pct", "under_pct")
 
 
 def trained(spark: SparkSession, sf: str, make) -> DataFrame:
@@ -500,4 +500,4 @@ def poisson_glm_fit(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def gbt_fit(spark: SparkSession, sf: str) -> DataFrame:
-    return trained(spark, sf, lambda _: models.boosted(trees=10))
+    return trained(spark, sf, lambda _: models.boosted())

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from moundworks import schemas
 from moundworks.functions.semantics import decimal_odds, exact_normal_cdf, normal_cdf, soften
 from moundworks.operators import context, features, games, models, odds, pricing, slips
+from moundworks.plans import catalog
 
 DAY = dt.date(2024, 4, 1)
 
@@ -224,6 +225,22 @@ def test_simulation_is_near_the_distribution(spark):
         assert abs(r.mc_p_over - w[0]) <= 4 * (w[0] * (1 - w[0]) / n) ** 0.5
 
 
+def test_registered_draws_and_trees_are_the_defaults(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(catalog, "trained", lambda spark, sf, make: made.append(make(None)))
+    catalog.QUERIES["gbt_fit"](spark, "")
+    assert made[0].getMaxIter() == 100
+    prices = spark.createDataFrame([(f"p{i}", 5.5, 4.0 + i / 10, 2.0, 1.9, 1.9) for i in range(20)], "pitcher_name string, k_line double, k_pred_mean double, hybrid_std double, payout_over double, payout_under double")
+    monkeypatch.setattr(catalog, "priced", lambda spark, sf: prices)
+    got = {r.pitcher_name: r.mc_p_over for r in catalog.QUERIES["mc_probs"](spark, "").collect()}
+    assert got == {r.pitcher_name: r.mc_p_over for r in pricing.simulate(prices, 10_000).collect()}
+    sides = {"PREDICTIONS": prices.select("pitcher_name", "k_pred_mean", F.col("hybrid_std").alias("k_pred_std")), "LINES": prices.select(F.col("pitcher_name").alias("player"), "k_line", F.lit(-110).alias("over_american_price"), F.lit(-110).alias("under_american_price"))}
+    monkeypatch.setattr(catalog.views, "view", lambda spark, sf, body: next(d for n, d in sides.items() if body == getattr(catalog.views, n)))
+    shares = [r.over_pct * 10_000 for r in catalog.QUERIES["simulated_ev"](spark, "").collect()]
+    assert all(x == pytest.approx(round(x), abs=1e-6) for x in shares)
+    assert any(round(x) % 5 for x in shares)  # 2,000 draws only give fives
+
+
 def test_plays_keep_the_other_side(spark):
     df = spark.createDataFrame([("a", 0.2, -0.1, 1.9, 2.0)], "pitcher_name string, mc_ev_over double, mc_ev_under double, payout_over double, payout_under double")
     r = one(pricing.plays(df))
