@@ -69,7 +69,7 @@ def identify(pages: DataFrame, docs: DataFrame, trust: float = 50.0, most_trigra
     shared.ship(spark)
     langs, table = train(docs, train_rows)
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[a-zA-Z][\w+.-]*://(?:[^/@]*@)?([^/:?#]+)", 1))
-    declared = F.lower(F.regexp_extract(F.substring(F.coalesce("html", F.lit("")), 1, 4096), r"(?i)<html\b[^>]*?\slang\s*=\s*[\"']?([A-Za-z]+)", 1))
+    declared = F.lower(F.regexp_extract(F.coalesce("html", F.lit("")), r"(?i)<html\b[^>]*?\slang\s*=\s*[\"']?([A-Za-z]+)", 1))
     rows = pages.select("page_id", host.alias("host"), F.element_at(F.split(host, r"\."), -1).alias("suffix"), declared.alias("declared"), F.coalesce("html", F.lit("")).alias("html"))
     if not langs:
         return rows.select("page_id", F.lit(None).cast("string").alias("lang"), F.lit(None).cast("double").alias("probability"), F.lit(None).cast("string").alias("text_lang"), "declared", "host", "suffix")

@@ -172,6 +172,14 @@ def likeness(a, b):
     return sum((a & b).values()) / sum((a | b).values())
 
 
+def test_declaration_far_into_the_page(spark):
+    docs = spark.createDataFrame([(1, "the and with from", "en"), (2, "der und mit von", "de")], "doc_id long, text string, lang string")
+    far = "<!-- " + "licence " * 1_000 + "-->"
+    pages = [(1, None, far + "<html lang='de'><p>der und</p></html>"), (2, None, far + "<html><p>der und</p></html>"), (3, None, "<html lang='en'><p>the and</p></html>" + far)]
+    got = {x.page_id: x.declared for x in langid.identify(spark.createDataFrame(pages, "page_id long, url string, html string"), docs).collect()}
+    assert got == {1: "de", 2: "", 3: "en"}
+
+
 def test_fingerprints(docs):
     r = random.Random(0)
     rows = []
