@@ -357,6 +357,16 @@ def slips_diverse(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(slips.diverse(all_slips(spark, sf)))
 
 
+def priced_legs(spark: SparkSession, sf: str) -> DataFrame:
+    x = pricing.evs(pricing.simulate(priced(spark, sf)), "mc_p_over", "mc_p_under", "mc_ev_over", "mc_ev_under")
+    return slips.top_legs(pricing.plays(x))
+
+
+@query()
+def slips_of_plays(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(slips.slips(priced_legs(spark, sf)))
+
+
 @query(f"{SLIP_SQL}, CAST(1 AS INT) AS units FROM ({o.slips(2, 2)}) s ORDER BY ordinal LIMIT 3")
 def bankroll_conservative(spark: SparkSession, sf: str) -> DataFrame:
     s = all_slips(spark, sf, (2, 2))

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import itertools
+import math
 import random
 
 import pytest
@@ -272,6 +273,22 @@ def test_slips_are_all_combinations(spark):
     assert all(got[m] == pytest.approx(want[m]) for m in want)
 
 
+def test_slips_of_the_best_plays(spark, monkeypatch):
+    prices = spark.createDataFrame([(f"p{i:02}", 5.5, 3.0 + i * 0.31, 2.0, 1.9, 1.95) for i in range(20)], "pitcher_name string, k_line double, k_pred_mean double, hybrid_std double, payout_over double, payout_under double")
+    monkeypatch.setattr(catalog, "priced", lambda spark, sf: prices)
+    sides = [(p * pay - (1 - p), r.pitcher_name, p) for r in pricing.simulate(prices).collect() for p, pay in ((r.mc_p_over, r.payout_over), (r.mc_p_under, r.payout_under))]
+    best = sorted((x for x in sides if x[0] > 0), key=lambda x: (-x[0], x[1]))
+    assert len(best) > 12
+    want = {}
+    for k in range(2, 9):
+        for c in itertools.combinations(range(12), k):
+            if len({best[i][1] for i in c}) == k:
+                want[sum(1 << i for i in c)] = math.prod(best[i][2] for i in c) * schemas.SLIP_PAYOUTS[k] - 1
+    got = {r["mask"]: r.total_ev for r in catalog.QUERIES["slips_of_plays"](spark, "").collect()}
+    assert got.keys() == want.keys()
+    assert all(got[m] == pytest.approx(want[m], abs=1e-8) for m in want)
+
+
 def test_greedy_choices_follow_a_plain_loop(spark):
     s = slips.slips(legs(spark)).select("mask", "slip_size", "p_win", "payout", F.round("total_ev", 9).alias("total_ev"), "avg_ev", "ordinal")
     made = [(m, p, round(ev, 9), k) for m, p, ev, k in combos(range(2, 9))]
