@@ -5,7 +5,8 @@ smallest hash of the ``gram``-unit strings inside it, so equal windows have equa
 consecutive windows that share one form a super-k-mer, which travels as one string.
 
 Documents are packed into blocks of a few MB, kept in a table bucketed by block, so that what comes
-back to a block joins it in place. Then:
+back to a block joins it in place. Minimisers are dealt by their hash to buckets, each of which is one
+group in memory; a task goes through its buckets one after another. Then:
 
 1. each block sends its distinct minimisers, four bytes each, to their buckets; a bucket answers
    which of them the corpus has more than once (others can't belong to a repeated window) and which
@@ -20,7 +21,6 @@ A hot passage is one string a block however often it occurs; all else is spread
 from __future__ import annotations
 
 import pickle
-import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -35,6 +35,7 @@ from moundworks.llm import shared
 NO_ID = -(1 << 63)  # stands for a null doc_id, before all others
 BASE = np.uint64(0x9E3779B97F4A7C15)
 PIECE = 1 << 17  # units hashed at a time, so that the work stays in the processor's cache
+MOST_TASKS = 20_000  # of a shuffle, and table buckets; beyond it tasks get more buckets, which stay small
 
 
 def dump(x: object) -> bytes:
@@ -228,33 +229,48 @@ class Block:
         string = np.empty(len(order), np.int64)
         string[order] = group
         first = order[new]  # lexsort is stable: the first place in the block
+        first = self._tell_apart(at, n, string, first)
         return {"at": at, "n": n, "string": string, "first": first, "bucket": (key[first] >> np.uint64(32)).astype(np.int64), "key": key[first].astype(np.uint32)}
 
 
+    def _tell_apart(self, at: np.ndarray, n: np.ndarray, string: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Strings of equal hashes but other bytes get a number of their own (changes ``string``).
+        Returns where each string is first."""
+        rest = np.setdiff1d(np.arange(len(at)), first, assume_unique=True)
+        if not len(rest):
+            return first
+        begin, end = (x.tolist() for x in self.bytes_of(at, n + self.plan.width - 1))
+        data, more = memoryview(self.data), []
+        for i, j in zip(rest.tolist(), first[string[rest]].tolist(), strict=True):
+            if data[begin[i] : end[i]] != data[begin[j] : end[j]]:
+                string[i] = len(first) + len(more)
+                more.append(i)
+        return np.concatenate([first, np.array(more, np.int64)]) if more else first
+
+
 def address(h: np.ndarray, buckets: int) -> np.ndarray:
     """bucket << 32 | 32 bits of the hash."""
     return ((h & np.uint64(0xFFFFFFFF)) % np.uint64(buckets) << np.uint64(32)) | (h >> np.uint64(32))
 
 
-def pack_blocks(docs: DataFrame, plan: Plan, buckets: int, block_bytes: int, whole_rows: bool) -> DataFrame:
+def pack_blocks(docs: DataFrame, plan: Plan, tasks: int, block_bytes: int, whole_rows: bool) -> DataFrame:
     """The documents as a table of blocks, bucketed by block. Null texts are empty. With
     ``whole_rows`` the rows as they came are kept beside, in the block's order."""
     spark = docs.sparkSession
-    columns = docs.columns if whole_rows else []
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         block = TaskContext.get().partitionId() << 32
         held: list[tuple[int, bytes]] = []
-        rows: list[pa.RecordBatch] = []
+        rows: list[pa.Array] = []
         size = 0
 
         def close() -> pa.RecordBatch:
             nonlocal block, size
             order = sorted(range(len(held)), key=lambda i: held[i][0])
             x = (np.array([held[i][0] for i in order], np.int64), np.array([len(held[i][1]) for i in order], np.int64), b"".join(held[i][1] for i in order))
-            whole = pa.Table.from_batches(rows).take(pa.array(order)).combine_chunks().to_batches()[0] if columns else None
+            whole = pa.concat_arrays(rows).take(pa.array(order)) if whole_rows else None
             row = pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([dump(x)], pa.binary()), pa.array([dump(whole)], pa.binary())], names=["block", "payload", "whole"])
             held.clear()
             rows.clear()
@@ -270,31 +286,37 @@ def pack_blocks(docs: DataFrame, plan: Plan, buckets: int, block_bytes: int, who
                 held.append((NO_ID if d is None else d, t))
                 size += len(t) + 16
                 if size >= block_bytes:
-                    rows.append(batch.select(columns).slice(begin, k + 1 - begin))
+                    if whole_rows:
+                        rows.append(batch.column(2).slice(begin, k + 1 - begin))
                     begin = k + 1
                     yield close()
-            if columns and begin < batch.num_rows:
-                rows.append(batch.select(columns).slice(begin))
+            if whole_rows and begin < batch.num_rows:
+                rows.append(batch.column(2).slice(begin))
         if held:
             yield close()
 
-    packed = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("binary").alias("_text"), *[F.col(c) for c in columns]).mapInArrow(pack, "block long, payload binary, whole binary")
-    name = f"moundworks_blocks_{uuid.uuid4().hex}"
-    packed.write.bucketBy(buckets, "block").option("compression", "none").option("path", shared.fresh_dir(spark, "blocks")).saveAsTable(name)
+    row = [F.struct("*")] if whole_rows else []  # one column, whatever names are inside
+    packed = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary"), *row).mapInArrow(pack, "block long, payload binary, whole binary")
+    name = shared.fresh_table("blocks")
+    packed.write.bucketBy(tasks, "block").option("compression", "none").option("path", shared.fresh_dir(spark, "blocks")).saveAsTable(name)
     return spark.table(name)
 
 
-def repeated_windows(docs: DataFrame, plan: Plan, first_places: Callable, digest: Callable, schema: object, block_bytes: int = 2 << 20, task_bytes: int = 4 << 20, whole_rows: bool = False) -> DataFrame:
+def repeated_windows(docs: DataFrame, plan: Plan, first_places: Callable, digest: Callable, schema: object, block_bytes: int = 2 << 20, bucket_bytes: int = 4 << 20, buckets: int | None = None, most_tasks: int = MOST_TASKS, whole_rows: bool = False) -> DataFrame:
     """Rows that ``digest(block, removed)`` gives for each block, where ``removed`` marks the units
     that a repeated window covers; with ``whole_rows`` it also gets the block's rows as they came.
 
     ``first_places(strings, keys, docs, starts, plan)`` gets a bucket's strings with their first
     places and returns, a window after another, the doc_id and start of each window's first place.
+
+    There is a bucket for each ``bucket_bytes`` of input unless ``buckets`` says how many, so a bucket's
+    memory doesn't grow with it, and a task for each bucket up to ``most_tasks``.
     """
     spark = docs.sparkSession
     shared.ship(spark)
-    buckets = shared.parts(spark, shared.input_bytes(docs), task_bytes)
-    blocks = pack_blocks(docs, plan, buckets, block_bytes, whole_rows)
+    buckets = buckets or shared.parts(spark, shared.input_bytes(docs), bucket_bytes)
+    tasks = min(buckets, most_tasks)
+    blocks = pack_blocks(docs, plan, tasks, block_bytes, whole_rows)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -320,7 +342,7 @@ def repeated_windows(docs: DataFrame, plan: Plan, first_places: Callable, digest
         out = [np.packbits(bits[:, i:j], axis=1).tobytes() for i, j in zip(cut, cut[1:], strict=False)]
         return pa.table({"block": group["block"], "bucket": group["bucket"], "n": pa.array(np.diff(cut)), "bits": pa.array(out, pa.binary())})
 
-    answers = shared.staged(blocks.select("block", "payload").mapInArrow(ask, "bucket long, block long, keys binary, twice binary").groupBy("bucket").applyInArrow(answer, "block long, bucket long, n long, bits binary"), "answers")
+    answers = shared.staged(blocks.select("block", "payload").mapInArrow(ask, "bucket long, block long, keys binary, twice binary").repartition(tasks, "bucket").groupBy("bucket").applyInArrow(answer, "block long, bucket long, n long, bits binary"), "answers")
     known = blocks.join(answers.groupBy("block").agg(F.collect_list(F.struct("bucket", "n", "bits")).alias("answers")), "block", "left")
 
     def read_bits(rows: list[dict] | None) -> tuple[np.ndarray, np.ndarray]:
@@ -380,7 +402,7 @@ def repeated_windows(docs: DataFrame, plan: Plan, first_places: Callable, digest
             out.append(dump((doc[take], start[take] if plan.same_document else None)))
         return pa.table({"block": group["block"], "bucket": group["bucket"], "places": pa.array(out, pa.binary())})
 
-    places = known.select("block", "payload", "answers").mapInArrow(send, "bucket long, block long, strings binary").groupBy("bucket").applyInArrow(settle, "block long, bucket long, places binary")
+    places = known.select("block", "payload", "answers").mapInArrow(send, "bucket long, block long, strings binary").repartition(tasks, "bucket").groupBy("bucket").applyInArrow(settle, "block long, bucket long, places binary")
     back = known.join(places.groupBy("block").agg(F.collect_list(F.struct("bucket", "places")).alias("places")), "block", "left")
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -40,12 +40,23 @@ def fresh_dir(spark: SparkSession, name: str) -> str:
     return path
 
 
+def fresh_table(name: str) -> str:
+    """A new name for a table of the session's catalog, which loses it when the process ends."""
+    table = f"moundworks_{name}_{uuid.uuid4().hex}"
+    _tables.append(table)
+    return table
+
+
 _made: list[str] = []
+_tables: list[str] = []
 
 
 def clean() -> None:
-    """Remove the folders that this process had written, as far as they can be reached."""
+    """Remove the tables and folders that this process had written, as far as they can be reached."""
     spark = SparkSession.getActiveSession()
+    while _tables:
+        with contextlib.suppress(Exception):
+            spark.sql(f"DROP TABLE IF EXISTS {_tables.pop()}")
     while _made:
         path = _made.pop()
         with contextlib.suppress(Exception):  # the process ends; what stays is only space

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from moundworks.llm.repeats import BASE, NO_ID, Block, Plan, gram_hashes, repeated_windows
 
+ARRAY = 1 << 13  # bytes of a suffix array, unless one key has more: its lists stay in the processor's cache
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
@@ -29,70 +30,83 @@ def suffix_array(codes: np.ndarray) -> np.ndarray:
         return np.arange(n)
     order = np.argsort(codes, kind="stable")
     member = order.tolist()  # groups are ranges of this list
-    place = np.empty(n, np.int64)
-    place[order] = np.arange(n)
-    place = place.tolist()
+    places = np.empty(n, np.int64)
+    places[order] = np.arange(n)
+    place = places.tolist()
     sorted_codes = codes[order]
-    begins = np.flatnonzero(np.concatenate([[True], sorted_codes[1:] != sorted_codes[:-1]])).tolist()
-    stop = dict(zip(begins, [*begins[1:], n], strict=True))  # a group is known by where it begins
-    group = np.empty(n, np.int64)
-    group[order] = np.repeat(begins, np.diff([*begins, n]))
-    group = group.tolist()  # of each suffix: where its group begins
-    left = list(range(-1, n - 1))  # the untaken places as a linked list
-    right = list(range(1, n + 1))
-    smaller = [-1] * n
+    begins = np.flatnonzero(np.concatenate([[True], sorted_codes[1:] != sorted_codes[:-1]]))
+    sizes = np.diff(np.append(begins, n))
+    stops = np.zeros(n, np.int64)
+    stops[begins] = begins + sizes
+    stop = stops.tolist()  # a group is known by where it begins
+    groups = np.empty(n, np.int64)
+    groups[order] = np.repeat(begins, sizes)
+    group = groups.tolist()  # of each suffix: where its group begins
+    left = list(range(-1, n))  # the untaken places as a linked list; its ends are -1 and n
+    right = [*range(1, n + 1), 0]
+    smaller = [-1] * (n + 1)
+
+    def to_end(p: int) -> int:
+        """Moves ``p`` behind its group, which gets shorter. Returns the new end."""
+        g = group[p]
+        at = stop[g] - 1
+        stop[g] = at
+        mine = place[p]
+        if at != mine:
+            there = member[at]
+            member[at], member[mine] = p, there
+            place[p], place[there] = at, mine
+        return at
+
     end = n
     while end > 0:
-        begin = group[member[end - 1]]
-        taken = member[begin:end]
-        if len(taken) > 1:
-            taken.sort()
+        last = member[end - 1]
+        begin = group[last]
+        if begin == end - 1:  # most groups have one member
+            p, q = left[last], right[last]
+            right[p], left[q] = q, p
+            smaller[last] = p
+            if p >= 0 and stop[group[p]] - group[p] > 1:
+                at = to_end(p)
+                group[p], stop[at] = at, at + 1
+            end = begin
+            continue
         pointed: dict[int, int] = {}
-        for i in taken:
+        for i in sorted(member[begin:end]):
             p, q = left[i], right[i]
-            if p >= 0:
-                right[p] = q
-            if q < n:
-                left[q] = p
+            right[p], left[q] = q, p
             smaller[i] = p  # those of the group before it are out of the list by now
-            if p >= 0:
-                pointed[p] = pointed.get(p, 0) + 1
-        if pointed:
-            by_group: dict[tuple[int, int], list[int]] = {}
-            for p, times in pointed.items():
-                by_group.setdefault((times, group[p]), []).append(p)
-            for times, g in sorted(by_group, reverse=True):
-                moved = by_group[times, g]
-                old_stop = stop[g]
-                new = old_stop - len(moved)
-                if new == g:
-                    continue  # the whole group moved: it is where it was
-                at = old_stop
-                for p in moved:
-                    at -= 1
-                    there, mine = member[at], place[p]
-                    member[at], member[mine] = p, there
-                    place[p], place[there] = at, mine
-                for p in moved:
-                    group[p] = new
-                stop[g], stop[new] = new, old_stop
+            pointed[p] = pointed.get(p, 0) + 1
         end = begin
+        pointed.pop(-1, None)
+        by_times: dict[int, list[int]] = {}
+        for p, times in pointed.items():
+            by_times.setdefault(times, []).append(p)
+        for times in sorted(by_times, reverse=True):
+            new: dict[int, int] = {}
+            ends: dict[int, int] = {}
+            for p in by_times[times]:
+                ends.setdefault(group[p], stop[group[p]])
+                new[group[p]] = to_end(p)
+            for p in by_times[times]:
+                group[p] = new[group[p]]
+            for g, at in new.items():
+                stop[at] = ends[g]
     out = [-1] * n
-    heads = {g: g for g in set(group)}  # where a group's next suffix goes
-    done = bytearray(n)
-
-    def put(j: int) -> None:
-        while j >= 0 and not done[j]:
+    heads = list(range(n))  # where a group's next suffix goes
+    done = bytearray(n + 1)
+    done[n] = 1  # also place -1: nothing is before the first
+    j, i = n - 1, 0  # before the empty suffix
+    while True:
+        while not done[j]:
             done[j] = 1
             g = group[j]
             out[heads[g]] = j
             heads[g] += 1
             j = smaller[j]
-
-    put(n - 1)  # before the empty suffix
-    for i in range(n):
-        put(out[i] - 1)
-    return np.array(out)
+        if i == n:
+            return np.array(out)
+        j, i = out[i] - 1, i + 1
 
 
 def layout(strings: list[bytes], windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -117,53 +131,49 @@ def several(codes: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
 def first_places(strings: list[bytes], keys: np.ndarray, docs: np.ndarray, starts: np.ndarray, windows: np.ndarray, plan: Plan) -> tuple[np.ndarray, np.ndarray]:
     """The smallest doc_id of each window.
 
-    Windows of a string that alone holds its minimiser are in no other. Of the others, what can be in
-    several strings is cut out; equal pieces are one piece, and the pieces that still share windows
-    go into one suffix array, where equal windows are neighbours.
+    Windows of a string that alone holds its minimiser are in no other, and neither are windows whose
+    hash is alone. The runs of all others are sorted in suffix arrays, where equal windows are
+    neighbours. Equal windows have one key, so an array takes whole keys, about ``ARRAY`` bytes.
     """
     out = np.repeat(docs, windows)
     _, inverse, counts = np.unique(keys, return_inverse=True, return_counts=True)
     some = np.flatnonzero(counts[inverse] > 1)
+    some = some[np.argsort(keys[some], kind="stable")]
     if not len(some):
         return out, out
-    texts, m = [strings[i] for i in some.tolist()], windows[some]
-    codes, at = layout(texts, m)
+    m = windows[some]
+    codes, at = layout([strings[i] for i in some.tolist()], m)
     target = np.repeat((np.cumsum(windows) - windows)[some], m) + steps(m)
     shared = several(codes, at, plan.width)
     begins = shared.copy()
     begins[1:] &= ~shared[:-1] | (at[1:] != at[:-1] + 1)
     begin = np.flatnonzero(begins)
-    n = np.diff(np.append(np.cumsum(shared)[begin] - 1, shared.sum()))
     if not len(begin):
         return out, out
-    raw = codes.astype(np.uint8) - np.uint8(1)  # 256 is 0 again and goes back to 255
-    data, first = raw.tobytes(), at[begin]
-    index: dict[bytes, int] = {}
-    own = np.array([index.setdefault(data[a : a + k], len(index)) for a, k in zip(first.tolist(), (n + plan.width - 1).tolist(), strict=True)], np.int64)
-    least = np.full(len(index), np.iinfo(np.int64).max)
-    np.minimum.at(least, own, out[target[begin]])
-    size = np.zeros(len(index), np.int64)
-    size[own] = n
-    found = np.repeat(least, size)
-    pieces = list(index)
-    codes, at = layout(pieces, size)
-    again = np.unique(np.repeat(np.arange(len(size)), size)[several(codes, at, plan.width)])
-    if len(again):
-        k = size[again]
-        place = np.repeat((np.cumsum(size) - size)[again], k) + steps(k)
-        found[place] = least_by_window([pieces[i] for i in again.tolist()], k, found[place], plan.width)
-    cut = np.cumsum(size) - size
-    step = steps(n)
-    out[target[np.repeat(begin, n) + step]] = found[np.repeat(cut[own], n) + step]
+    n = np.diff(np.append(np.cumsum(shared)[begin] - 1, shared.sum()))
+    key = np.repeat(keys[some], m)[begin]
+    cuts = np.append(np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])), len(key))
+    size = np.concatenate([[0], np.cumsum(n + plan.width)])
+    a = 0
+    while a < len(key):
+        b = int(cuts[np.searchsorted(cuts, a, side="right")])  # one key at least
+        b = max(b, int(cuts[np.searchsorted(cuts, np.searchsorted(size, size[a] + ARRAY, side="right") - 1, side="right") - 1]))
+        length = n[a:b] + plan.width  # a run's bytes and a 0
+        runs = codes[np.minimum(np.repeat(at[begin[a:b]], length) + steps(length), len(codes) - 1)].astype(np.int64)
+        first = np.cumsum(length) - length
+        runs[first + length - 1] = 0
+        where = target[np.repeat(begin[a:b], n[a:b]) + steps(n[a:b])]
+        out[where] = least_by_window(runs, np.repeat(first, n[a:b]) + steps(n[a:b]), out[where], plan.width)
+        a = b
     return out, out
 
 
-def least_by_window(strings: list[bytes], windows: np.ndarray, values: np.ndarray, width: int) -> np.ndarray:
-    """The least of ``values`` (one a window) over equal windows, by the strings' suffix array."""
-    codes, at = layout(strings, windows)
+def least_by_window(codes: np.ndarray, at: np.ndarray, values: np.ndarray, width: int) -> np.ndarray:
+    """The least of ``values`` (one a window) over the equal ones of the windows that begin at ``at``,
+    by the suffix array of ``codes``."""
     window_of = np.full(len(codes), -1)
     window_of[at] = np.arange(len(at))
-    order = suffix_array(codes.astype(np.int64))
+    order = suffix_array(codes)
     order = order[window_of[order] >= 0]
     same = np.ones(len(order), bool)
     for k in range(width):
@@ -172,7 +182,7 @@ def least_by_window(strings: list[bytes], windows: np.ndarray, values: np.ndarra
     same[0] = False
     window = window_of[order]
     least = np.minimum.reduceat(values[window], np.flatnonzero(~same))
-    out = values.copy()
+    out = np.empty_like(values)
     out[window] = least[np.cumsum(~same) - 1]
     return out
 

@@ -99,10 +99,10 @@ def rewrite(docs: DataFrame, width: int = 20, gram: int = 8, **sizes: int) -> Da
     and rows that lose all stay with an empty text. Cases are those of ``dedup``."""
     hot = sizes.pop("hot_blocks", 4096)
 
-    def put(block: Block, removed: np.ndarray, rows: pa.RecordBatch) -> pa.RecordBatch:
+    def put(block: Block, removed: np.ndarray, rows: pa.StructArray) -> pa.RecordBatch:
         texts, _, lost = kept_texts(block, removed)
         new = [t.decode("utf-8", "replace") if k else None for t, k in zip(texts, lost, strict=True)]
-        columns = {f.name: c for f, c in zip(rows.schema, rows.columns, strict=True)}
+        columns = {f.name: c for f, c in zip(rows.type, rows.flatten(), strict=True)}
         changed = pa.array([bool(k) for k in lost])
         columns["text"] = pc.if_else(changed, pa.array(new, pa.string()).cast(columns["text"].type), columns["text"])
         if "n_chars" in columns:

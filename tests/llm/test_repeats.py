@@ -7,8 +7,8 @@ import re
 import numpy as np
 import pytest
 
-from moundworks.llm import suffix, superkmers
-from moundworks.llm.repeats import gram_hashes, sliding
+from moundworks.llm import shared, suffix, superkmers
+from moundworks.llm.repeats import Plan, gram_hashes, sliding
 
 LEAST = -(1 << 63)
 
@@ -76,6 +76,46 @@ def test_words(docs, width, gram, hot):
     assert sorted(map(tuple, got.collect())) == by_words(rows, width)
 
 
+def test_more_buckets_than_a_table_may_have(docs):
+    """Spark allows a table 100,000 buckets; the hash buckets may be more."""
+    text = " ".join(f"word{i * i % 37}" for i in range(60))
+    rows = [(1, text), (2, "before " + text[:300]), (3, text[200:] + " after"), (4, None), (5, "ab " * 100)]
+    for dedup, truth, width in ((suffix.dedup, by_bytes, 50), (superkmers.dedup, by_words, 20)):
+        got = dedup(docs(rows), width=width, buckets=150_000, most_tasks=6)
+        assert sorted(map(tuple, got.collect())) == truth(rows, width)
+
+
+def test_tables_leave_the_catalog(spark, docs, monkeypatch):
+    monkeypatch.setattr(shared, "_made", [])
+    monkeypatch.setattr(shared, "_tables", [])
+    suffix.dedup(docs([(1, "a"), (2, "b")])).collect()
+    name = shared._tables[0]
+    assert spark.catalog.tableExists(name)
+    shared.clean()
+    assert not spark.catalog.tableExists(name)
+
+
+def test_suffix_arrays_decide_all_that_repeats(monkeypatch):
+    """Of the windows of a bucket, all that occur in two strings go through a suffix array."""
+    sorted_windows = []
+    real = suffix.least_by_window
+    monkeypatch.setattr(suffix, "least_by_window", lambda codes, at, values, width: sorted_windows.append(len(at)) or real(codes, at, values, width))
+    r = random.Random(4)
+    passage = "".join(r.choice("abcdef") for _ in range(70))
+    strings = [("".join(r.choice("uvwxyz") for _ in range(20)) + passage + "".join(r.choice("uvwxyz") for _ in range(20))).encode() for _ in range(30)]
+    windows = np.array([len(s) - 49 for s in strings])
+    keys = np.array([k % 3 for k in range(30)])
+    for size in (100, 1 << 13):
+        monkeypatch.setattr(suffix, "ARRAY", size)
+        sorted_windows.clear()
+        found, _ = suffix.first_places(strings, keys, np.arange(30) + 100, np.zeros(30, int), windows, Plan("bytes", 50, 24, False))
+        assert sum(sorted_windows) == 30 * 21
+        assert len(sorted_windows) == (3 if size == 100 else 1)
+        cut = np.cumsum(windows)
+        for k, own in enumerate(np.split(found, cut[:-1])):
+            assert own.tolist() == [100 + k] * 20 + [100 + k % 3] * 21 + [100 + k] * 20
+
+
 def test_one_long_text(docs):
     rows = [(1, "ab " * 40_000), (2, "x" * 100_000), (3, "ab " * 40_000 + "end")]
     assert sorted(map(tuple, superkmers.dedup(docs(rows)).collect())) == by_words(rows, 20)
