@@ -4,13 +4,14 @@ Unit vectors are cut into halves, each half is quantised by its own centroids, a
 its pair of centroids. A query goes through the pairs by ascending summed distance, taken from a
 heap, until the cells hold the wanted share of all entries; entries there are ranked by their exact
 cosine. The share is measured when the index is fitted, so that it finds the wanted part of true
-neighbours on a sample.
+neighbours on a sample; a query that then has too few neighbours goes on.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -62,6 +63,8 @@ def nearest(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
 
 
 def centroids_of(x: np.ndarray, k: int, rounds: int, seed: int) -> np.ndarray:
+    if not x.shape[1]:  # the second half of vectors of one component
+        return np.zeros((1, 0))
     distinct = np.unique(x, axis=0)
     c = distinct[np.random.default_rng(seed).permutation(len(distinct))[:k]]
     for _ in range(rounds):
@@ -93,65 +96,91 @@ def fit(sample: np.ndarray, centroids: int, k: int, recall: float, seed: int = 0
     return index
 
 
-def search(vectors: DataFrame, every: int = 50, k: int = 5, centroids: int = 16, recall: float = 0.96, sample_rows: int = 20_000, shard: int = 4096, query_block: int = 512) -> DataFrame:
+def search(
+    vectors: DataFrame, every: int = 50, k: int = 5, centroids: int | None = None, recall: float = 0.96, sample_rows: int = 20_000, shard: int = 4096, query_block: int = 512, cell_rows: int = 2048, most_centroids: int = 128
+) -> DataFrame:
     """query_id, rank, vec_id, score: for each row whose vec_id is divisible by ``every`` its ``k``
-    nearest found by cosine, nearest first, ties to the smaller vec_id.
-
-    Centroids and the share of cells to visit are fitted on the ``sample_rows`` vectors whose vec_id
-    has the smallest hash; every vector is indexed. Vectors that are null or zero, that hold null or
-    non-finite components, or whose length is not the sample's most frequent one, and rows with a null
-    vec_id, take no part. A query never finds rows with its own vec_id. Rows of one vec_id are one
-    query and one entry, whose score is the best of theirs. No vectors give no rows.
+    nearest found by cosine, nearest first, ties to the smaller vec_id; all candidates, if fewer.
+
+    Vectors of each length have an index of their own, as a cosine needs equal lengths. Centroids and
+    the share of entries to visit are fitted on at most ``sample_rows`` vectors of the smallest hash;
+    every vector is indexed. ``centroids`` of each half are 16 or more, so that cells keep about
+    ``cell_rows`` rows as the table grows, up to ``most_centroids``. A length that the sample lacks is
+    one cell. A query that finds fewer than ``k`` goes on through its cells, twice as far each time.
+
+    Vectors that are null, empty or zero or that hold null or non-finite components, and rows with a
+    null vec_id, take no part. A query never finds rows with its own vec_id. Rows of one vec_id are one
+    query and one entry, whose score is the best of theirs; repeated rows are one row. No vectors give
+    no rows, and other columns, whatever their names, are not looked at.
     """
     spark = vectors.sparkSession
     shared.ship(spark)
     raw = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
     good = raw.where(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0) & F.forall("v", lambda x: F.coalesce(F.abs(x) < float("inf"), F.lit(False))) & F.exists("v", lambda x: x != 0))
-    head = good.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample_rows).toArrow()["v"].to_pylist()
-    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    if not head:
-        return empty
-    sizes = [len(v) for v in head]
-    size = max(set(sizes), key=lambda n: (sizes.count(n), n))
-    sample = unit(np.array([v for v in head if len(v) == size]))
-    index = fit(sample, centroids, k, recall)
-    n_cells = len(index.first) * len(index.second)
-    good = good.where(F.size("v") == size)
+    good = shared.staged(good.dropDuplicates(["vec_id", "v"]).select("vec_id", "v", F.size("v").alias("size"), F.xxhash64("vec_id", "v").alias("h")), "vectors")
+    n_of = {r["size"]: r["count"] for r in good.groupBy("size").count().collect()}  # one row a length
+    total = sum(n_of.values())
+    # the hash bound leaves about a fifth more rows than are wanted, so that no task gets them from all partitions
+    bound = min(1.0, 1.2 * sample_rows / max(total, 1) + 1e-9)
+    near_bound = good.where(F.shiftrightunsigned("h", 11).cast("double") < bound * (1 << 53))
+    head = near_bound.orderBy("h", "vec_id", "v").limit(sample_rows).select("v").toArrow()["v"].to_pylist() if total else []
+    by_size: dict[int, list] = {}
+    for v in head:
+        by_size.setdefault(len(v), []).append(v)
+
+    def fitted(size: int, rows: list) -> Index:
+        wanted = min(most_centroids, max(16, math.isqrt(n_of[size] // cell_rows)))
+        return fit(unit(np.array(rows)), centroids or wanted, k, recall)
+
+    indexes = {size: fitted(size, rows) for size, rows in by_size.items()}
+    for size in n_of.keys() - indexes.keys():
+        half = max(1, size // 2)
+        indexes[size] = Index(np.zeros((1, half)), np.zeros((1, size - half)), 1.0)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = matrix(batch.column(1), size)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(index.cells(unit(x)), pa.int64())], names=["vec_id", "v", "cell"])
-
-    entries = shared.staged(good.mapInArrow(place, "vec_id long, v array<double>, cell long"), "entries")
-    counts = np.zeros(n_cells, np.int64)
-    for r in entries.groupBy("cell").count().collect():  # one row a cell
-        counts[r["cell"]] = r["count"]
-    wanted = max(index.share * counts.sum(), k + 1.0)
-    shards = np.maximum(1, -(-counts // shard))
-    shard_of = F.array(*[F.lit(int(s)) for s in shards])
+            sizes = batch.column(2).to_numpy()
+            cells = np.zeros(len(sizes), np.int64)
+            for size in np.unique(sizes).tolist():
+                own = np.flatnonzero(sizes == size)
+                cells[own] = indexes[size].cells(unit(matrix(batch.column(1).take(pa.array(own)), size)))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cells, pa.int64())], names=["vec_id", "v", "size", "h", "cell"])
+
+    entries = shared.staged(good.mapInArrow(place, "vec_id long, v array<double>, size int, h long, cell long"), "entries")
+    counts = {size: np.zeros(len(x.first) * len(x.second), np.int64) for size, x in indexes.items()}
+    for r in entries.groupBy("size", "cell").count().collect():  # one row a cell
+        counts[r["size"]][r["cell"]] = r["count"]
+    shards = {size: np.maximum(1, -(-c // shard)) for size, c in counts.items()}
+    table = [(size, int(c), int(shards[size][c])) for size, n in counts.items() for c in np.flatnonzero(n)]
+    # bounded by the number of cells, most_centroids squared a length
+    of_cell = F.broadcast(spark.createDataFrame(table, "size int, cell long, shards long"))
 
     def bundle(t: pa.Table) -> pa.Table:
-        return pa.table({"cell": t["cell"][:1], "shard": t["shard"][:1], "entries": pa.array([dump((t["vec_id"].to_numpy(), matrix(t["v"].combine_chunks(), size)))], pa.binary())})
-
-    packed = entries.withColumn("shard", F.pmod(F.xxhash64("vec_id", "v"), F.element_at(shard_of, (F.col("cell") + 1).cast("int"))).cast("long"))
-    packed = packed.groupBy("cell", "shard").applyInArrow(bundle, "cell long, shard long, entries binary")
-
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a in range(0, batch.num_rows, query_block):
-                some = batch.slice(a, query_block)
-                ids, x = some.column(0).to_numpy(), matrix(some.column(1), size)
-                by_cell: dict[int, list[int]] = {}
-                for q, u in enumerate(unit(x)):
-                    for cell in index.order(u, counts, wanted):
-                        by_cell.setdefault(cell, []).append(q)
-                rows = [(c, s, dump((ids[q], x[q]))) for c, q in by_cell.items() for s in range(int(shards[c]))]
-                if rows:
-                    c, s, q = zip(*rows, strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()), pa.array(s, pa.int64()), pa.array(q, pa.binary())], names=["cell", "shard", "queries"])
-
-    queries = entries.where(F.col("vec_id") % every == 0).select("vec_id", "v").mapInArrow(ask, "cell long, shard long, queries binary")
+        x = matrix(t["v"].combine_chunks(), t["size"][0].as_py())
+        return pa.table({"size": t["size"][:1], "cell": t["cell"][:1], "shard": t["shard"][:1], "entries": pa.array([dump((t["vec_id"].to_numpy(), x))], pa.binary())})
+
+    packed = entries.join(of_cell, ["size", "cell"]).select("vec_id", "v", "size", "cell", F.pmod("h", "shards").alias("shard"))
+    packed = shared.staged(packed.groupBy("size", "cell", "shard").applyInArrow(bundle, "size int, cell long, shard long, entries binary"), "shards", "lz4")
+
+    def ask_for(times: float) -> Callable:
+        def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                sizes = batch.column(2).to_numpy()
+                for size in np.unique(sizes).tolist():
+                    own = batch.filter(pa.array(sizes == size))
+                    wanted = times * max(indexes[size].share * n_of[size], k + 1.0)
+                    for a in range(0, own.num_rows, query_block):
+                        some = own.slice(a, query_block)
+                        ids, x = some.column(0).to_numpy(), matrix(some.column(1), size)
+                        by_cell: dict[int, list[int]] = {}
+                        for q, u in enumerate(unit(x)):
+                            for cell in indexes[size].order(u, counts[size], wanted):
+                                by_cell.setdefault(cell, []).append(q)
+                        for c, q in by_cell.items():
+                            m = int(shards[size][c])
+                            yield pa.RecordBatch.from_arrays([pa.array([size] * m, pa.int32()), pa.array([c] * m, pa.int64()), pa.array(range(m), pa.int64()), pa.array([dump((ids[q], x[q]))] * m, pa.binary())], names=["size", "cell", "shard", "queries"])
+
+        return ask
 
     def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -161,10 +190,23 @@ def search(vectors: DataFrame, every: int = 50, k: int = 5, centroids: int = 16,
                 out = top(query_ids, y, ids, x, k)
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in out], names=["query_id", "vec_id", "score"])
 
-    pairs = queries.join(packed, ["cell", "shard"]).select("entries", "queries").mapInArrow(rank, "query_id long, vec_id long, score double")
-    pairs = pairs.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return pairs.select("*", F.row_number().over(best).alias("rank")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    queries = entries.where(F.col("vec_id") % every == 0).select("vec_id", "v", "size")
+    out, times = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double"), 1.0
+    while total:
+        asked = queries.mapInArrow(ask_for(times), "size int, cell long, shard long, queries binary")
+        pairs = asked.join(packed, ["size", "cell", "shard"]).select("entries", "queries").mapInArrow(rank, "query_id long, vec_id long, score double")
+        pairs = pairs.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+        found = shared.staged(pairs.select("query_id", F.row_number().over(best).alias("rank"), "vec_id", "score").where(F.col("rank") <= k), "found")
+        whole = found.where(F.col("rank") == k).select("query_id")
+        if all(times * max(indexes[size].share * n, k + 1.0) >= n for size, n in n_of.items()):
+            return out.unionByName(found)  # these have seen every entry
+        queries = shared.staged(queries.join(whole, queries.vec_id == whole.query_id, "left_anti"), "short")
+        out = out.unionByName(found.join(whole, "query_id", "left_semi"))
+        if queries.isEmpty():
+            return out
+        times *= 2
+    return out
 
 
 def matrix(column: pa.Array, size: int) -> np.ndarray:
@@ -184,15 +226,20 @@ def cosines(a: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 
 def top(query_ids: np.ndarray, y: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The ``k`` best entries of each query; the product only says which can be among them."""
+    """The ``k`` best vec_ids of each query; the product only says which can be among them."""
+    by_id = np.argsort(ids, kind="stable")
+    ids, x = ids[by_id], x[by_id]
+    first = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
     rough = unit(y) @ unit(x).T
     out_q, out_i, out_s = [], [], []
     for q, (query, row) in enumerate(zip(query_ids.tolist(), rough, strict=True)):
         row[ids == query] = -2
-        bound = np.partition(row, len(row) - k)[len(row) - k] if len(row) > k else -1.5
+        each = np.maximum.reduceat(row, first)  # the best of an id's rows
+        bound = np.partition(each, len(each) - k)[len(each) - k] if len(each) > k else -1.5
         near = np.flatnonzero((row >= bound - 1e-9) & (row > -1.5))
         score = cosines(y[q], x[near])
-        order = np.lexsort((ids[near], -score))[:k]
+        order = np.lexsort((ids[near], -score))
+        order = order[np.sort(np.unique(ids[near][order], return_index=True)[1])][:k]
         out_q.append(np.full(len(order), query))
         out_i.append(ids[near][order])
         out_s.append(score[order])

@@ -163,6 +163,55 @@ def test_few_neighbours(spark):
     assert sorted({(r.query_id, r.rank, r.vec_id) for r in got.collect()})[:2] == [(50, 1, 7), (50, 2, 8)]
 
 
+def exact_neighbours(rows, k=5):
+    """query_id -> [(vec_id, score)] by brute force: the best score of each other vec_id."""
+    out = {}
+    for q in {v for v, _ in rows if v % 50 == 0}:
+        best = {}
+        for a in (np.array(x) for v, x in rows if v == q):
+            for v, x in rows:
+                if v != q and len(x) == len(a):
+                    s = float(a @ np.array(x) / np.sqrt((a @ a) * (np.array(x) @ np.array(x))))
+                    best[v] = max(s, best.get(v, -2.0))
+        out[q] = sorted(best.items(), key=lambda t: (-round(t[1], 9), t[0]))[:k]
+    return out
+
+
+def neighbours_of(spark, rows, more=None, **options):
+    df = spark.createDataFrame([(*x, *(more or ())) for x in rows], "vec_id long, embedding array<double>" + (", v int, h int, cell int, size int, query_id int" if more else ""))
+    got = {}
+    for r in multi_index.search(df, **options).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score, r.rank))
+    assert all([n for _, _, n in x] == list(range(1, len(x) + 1)) for x in got.values())
+    return got
+
+
+def test_repeated_ids_leave_no_query_short(spark):
+    r = np.random.default_rng(3)
+    # a query's own rows, or those of one entry, are more than a walk of its share looks at
+    own = [(50, (np.array([1.0, 0, 0, 0]) + 0.001 * r.normal(size=4)).tolist()) for _ in range(12)]
+    entry = [(7, (np.array([0, 1.0, 0, 0]) + 0.001 * r.normal(size=4)).tolist()) for _ in range(30)]
+    rest = [(n + 1000, r.normal(size=4).tolist()) for n in range(1, 11)]
+    for rows in (own + rest, [(100, [0.0, 1.0, 0.0, 0.0])] + entry + rest, own + entry + rest):
+        want = exact_neighbours(rows)
+        got = neighbours_of(spark, rows, centroids=3, recall=0.1)
+        assert got.keys() == want.keys()
+        assert all(len(got[q]) == len(want[q]) == 5 and len({v for v, _, _ in got[q]}) == 5 for q in want)
+        all_cells = neighbours_of(spark, rows, centroids=1, more=(1, 2, 3, 4, 5))
+        assert {q: [v for v, _, _ in x] for q, x in all_cells.items()} == {q: [v for v, _ in x] for q, x in want.items()}
+
+
+def test_lengths_are_apart(spark):
+    r = np.random.default_rng(4)
+    rows = [(n, r.normal(size=3).tolist()) for n in range(1, 60)] + [(100, [1.0, 2.0]), (61, [2.0, 1.0]), (62, [-1.0, 0.5]), (150, [3.0])]
+    want = exact_neighbours(rows)
+    for sample_rows in (20_000, 4):  # lengths that the sample lacks are looked at whole
+        got = neighbours_of(spark, rows, centroids=2, recall=1.0, sample_rows=sample_rows)
+        assert [v for v, _, _ in got[100]] == [v for v, _ in want[100]] == [61, 62]
+        assert 150 not in got
+        assert len(got[50]) == 5
+
+
 def bag(text):
     w = text.split() or [""]
     return Counter(zip(w, [*w[1:], None], strict=True))
