@@ -64,12 +64,14 @@ def mix(
     mix_pass (from 0), mix_block and mix_order (the block's and then the row's hash give a pass's order).
 
     A null source is a source. A document without tokens is in every whole pass. The table of sources
-    comes to the driver: more than ``max_sources`` are refused. Rows of one doc_id are told apart by
-    their text's hash; repeated rows fall in one block. An empty table gives no rows.
+    comes to the driver: more than ``max_sources`` are refused. Rows of one doc_id and text go together:
+    they fall in one block, and where the budget ends all of them are taken or none. Columns of ``docs``
+    may have any names. An empty table gives no rows.
     """
     n_tokens = tokens if tokens is not None else word_count()
     key = F.xxhash64(*[F.col(c) for c in ("doc_id", "text") if c in docs.columns])
-    rows = docs.select("*", n_tokens.alias("_tokens"), key.alias("_key"))
+    # the row is one column, whatever names are inside
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("source").alias("source"), n_tokens.alias("_tokens"), key.alias("_key"))
     measured = shared.staged(rows.select("source", "_key", "_tokens"), "measured")
     sources = measured.groupBy("source").agg(F.sum("_tokens").alias("tokens"), F.count("*").alias("n")).limit(max_sources + 1).collect()
     if len(sources) > max_sources:
@@ -98,12 +100,13 @@ def mix(
     here = F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_block") == F.col("_b"))
     # the block in which a source's budget ends: its rows in order while it lasts
     inside = Window.partitionBy("_source", "_block").orderBy(order("_key"), "_key").rowsBetween(Window.unboundedPreceding, 0)
-    edge = measured.join(blocks.where("_sum > _left"), here).withColumn("_upto", F.sum("_tokens").over(inside)).where("_upto <= _left")
-    edge = edge.select(F.col("_source").alias("_es"), F.col("_key").alias("_ek"), F.lit(True).alias("_edge")).distinct()
+    ends = measured.join(blocks.where("_sum > _left"), here).groupBy("_source", "_block", "_whole", "_left", "_key").agg(F.sum("_tokens").alias("_tokens"))
+    edge = ends.withColumn("_upto", F.sum("_tokens").over(inside)).where("_upto <= _left")
+    edge = edge.select(F.col("_source").alias("_es"), F.col("_key").alias("_ek"), F.lit(True).alias("_edge"))
 
     out = with_shares(rows).join(blocks.where("_sum <= _left").select("_s", "_b", F.lit(True).alias("_taken")), here, "left")
     out = out.join(edge, F.col("_source").eqNullSafe(F.col("_es")) & (F.col("_key") == F.col("_ek")), "left")
     n = F.col("_whole") + F.when(F.col("_taken").isNotNull() | F.col("_edge").isNotNull(), 1).otherwise(0)
     out = out.where(n > 0).select("*", F.explode(F.sequence(F.lit(0).cast("long"), n - 1)).alias("_pass"))
     more = {"mix_tokens": F.col("_tokens"), "mix_pass": F.col("_pass"), "mix_block": F.col("_block"), "mix_order": F.xxhash64(F.lit(seed), "_pass", "_source", "_block")}
-    return out.select(*docs.columns, *[c.alias(name) for name, c in more.items() if name not in docs.columns])
+    return out.select("row.*", *[c.alias(name) for name, c in more.items() if name not in docs.columns])

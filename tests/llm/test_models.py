@@ -98,6 +98,35 @@ def test_mixture_of_little(docs):
         mixing.mix(docs([(1, "a", "x"), (2, "b", "y")], ", source string"), max_sources=1)
 
 
+def test_mixture_chooses_whole_rows_within_its_budget(docs):
+    """Copies go together, the budget is kept to within one text, and columns may have any names."""
+    rows = [(i % 90, f"w{i % 90} " * (i % 7 + 1), "a" if i % 3 else None, i, 1, 2, 3, 4, 5, 6) for i in range(270)]
+    df = docs(rows, ", source string, _tokens int, _key int, _source int, _pass int, _s int, _whole int, row int")
+    got = mixing.mix(df, repetition_limit=None, budget=700, block_rows=16)
+    assert got.columns == [*df.columns, "mix_tokens", "mix_pass", "mix_block", "mix_order"]
+    got = got.collect()
+    assert {(r._key, r._source, r._pass, r._s, r._whole, r.row) for r in got} == {(1, 2, 3, 4, 5, 6)}
+    hashed = df.select("doc_id", "source", "_tokens", F.xxhash64("doc_id", "text").alias("key"), mixing.word_count().alias("n")).collect()
+    size = {s: sum(r.n for r in hashed if r.source == s) for s in (None, "a")}
+    names = sorted(size, key=lambda s: (s is not None, s))
+    each = mixing.passes([float(size[s]) for s in names], mixing.weights([float(size[s]) for s in names], 0.0), 700)
+    for s, x in zip(names, each, strict=True):
+        whole, rest = int(x + 1e-9), max(0, round((x - int(x + 1e-9)) * size[s]))
+        mine = [r for r in got if r.source == s]
+        taken = Counter((r.doc_id, r._tokens) for r in mine)
+        assert all(c in (whole, whole + 1) for c in taken.values())
+        extra = [r for r in mine if r.mix_pass == whole]
+        assert sum(r.mix_tokens for r in extra) <= rest
+        texts = Counter((r.doc_id, r.mix_tokens) for r in hashed_rows(hashed, s))
+        assert all(n == texts[k] for k, n in Counter((r.doc_id, r.mix_tokens) for r in extra).items())  # copies go together
+        largest = max(n * k[1] for k, n in texts.items())
+        assert sum(r.mix_tokens for r in extra) > rest - largest
+
+
+def hashed_rows(rows, source):
+    return [type("R", (), {"doc_id": r.doc_id, "mix_tokens": r.n}) for r in rows if r.source == source]
+
+
 def test_language(spark):
     r = random.Random(0)
     vocabulary = {"en": "the and with from this that which".split(), "de": "der und mit von diese welche nicht".split()}
