@@ -193,7 +193,9 @@ def intersections(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray, columns:
 
 
 def links(docs: DataFrame, words: int = 5, threshold: float = 0.8, tolerance: float = 1e-6, block: int = 1024) -> DataFrame:
-    """Per row of ``docs``: doc_id, class_id, copy_id, n_links."""
+    """Per row of ``docs``: doc_id, class_id, copy_id, n_links, which ``joined`` says more of. An empty
+    table gives no rows; repeated rows are each a row; other columns, whatever their names, are not
+    looked at."""
     signed, of_class = joined(docs, words, threshold, tolerance, block)
     lowest = of_class.groupBy("component").agg(F.min("copy_id").alias("class_id"))
     return signed.join(of_class.join(lowest, "component"), "name").select("doc_id", "class_id", "copy_id", "n_links")
@@ -201,13 +203,14 @@ def links(docs: DataFrame, words: int = 5, threshold: float = 0.8, tolerance: fl
 
 def one_of_each(docs: DataFrame, **options: float) -> DataFrame:
     """``docs`` with one row of each class: the least doc_id's (of its texts the least digest; null
-    last). Rows of one doc_id and text are one row."""
+    last). Rows of one doc_id and text are one row. Columns may have any names; an empty table stays empty."""
     _, of_class = joined(docs, **options)
     first = of_class.groupBy("component").agg(F.min(F.struct(F.col("copy_id").isNull(), "copy_id", "name")).alias("first"))
     first = shared.staged(first.select(F.col("first.copy_id").alias("_id"), F.col("first.name").alias("_name")), "kept")
-    named = docs.withColumns({"_own": F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary"))), "_own_id": F.col("doc_id").cast("long")})
+    # the row is one column, whatever names are inside
+    named = docs.select(F.struct("*").alias("row"), F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary"))).alias("_own"), F.col("doc_id").cast("long").alias("_own_id"))
     kept = named.join(first, (named._own == first._name) & named._own_id.eqNullSafe(first._id), "left_semi")
-    return kept.dropDuplicates(["_own", "_own_id"]).select(*docs.columns)
+    return kept.dropDuplicates(["_own", "_own_id"]).select("row.*")
 
 
 def joined(docs: DataFrame, words: int = 5, threshold: float = 0.8, tolerance: float = 1e-6, block: int = 1024) -> tuple[DataFrame, DataFrame]:
@@ -281,18 +284,18 @@ def joined(docs: DataFrame, words: int = 5, threshold: float = 0.8, tolerance: f
     nodes = near.join(classes.select("name", "copy_id"), near.node == classes.name).select("name", "component", "copy_id")
     sized = near.groupBy("component").agg(F.count("*").alias("n"))
     nodes = nodes.join(sized, "component")
-    texts = nodes.join(rows, nodes.copy_id.eqNullSafe(rows.doc_id)).select("component", "n", "name", "text")
+    # by id and text, so that rows without an id, or with one they share, meet their own text only
+    named = rows.select("doc_id", "text", F.unhex(F.md5("text")).alias("_own"))
+    texts = nodes.join(named, nodes.copy_id.eqNullSafe(named.doc_id) & (nodes.name == named._own)).select("component", "n", "name", "text")
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a in range(0, batch.num_rows, 500):
                 some = batch.slice(a, 500)
                 t = some.column("text").to_pylist()
-                same = [hashlib.md5(x, usedforsecurity=False).digest() == n for x, n in zip(t, some.column("name").to_pylist(), strict=True)]
                 hashes, cut = shingles(t, words)
                 sets = pa.array([np.unique(hashes[i:j]).tobytes() for i, j in zip(cut, cut[1:], strict=False)], pa.binary())
-                out = pa.RecordBatch.from_arrays([some.column("component"), some.column("n"), some.column("name"), sets], names=["component", "n", "name", "shingles"])
-                yield out.filter(pa.array(same))
+                yield pa.RecordBatch.from_arrays([some.column("component"), some.column("n"), some.column("name"), sets], names=["component", "n", "name", "shingles"])
 
     sets = texts.mapInArrow(spread, "component binary, n long, name binary, shingles binary").dropDuplicates(["name"])
     own, other = blocks_of(F.col("n"), "name", block)

@@ -80,6 +80,23 @@ def test_repeated_rows_and_null_ids(docs):
     assert sorted(map(tuple, jaccard.one_of_each(docs(rows)).collect()), key=repr) == sorted([rows[0], rows[2]], key=repr)
 
 
+def test_any_names(docs):
+    text = "one two three four five six seven"
+    rows = [(1, text, "own1", 11, "n", "r"), (2, text, "own2", 22, "n", "r"), (3, "alone", "own3", 33, "n", "r")]
+    df = docs(rows, ", _own string, _own_id int, name string, row string")
+    assert sorted(map(tuple, jaccard.one_of_each(df).collect())) == [rows[0], rows[2]]
+
+
+def test_many_rows_without_an_id(docs):
+    """Each meets its own text only: texts that are near are linked, and no others."""
+    base = [f"w{i}" for i in range(40)]
+    rows = [(None, " ".join([*base, f"end{k // 2}", f"x{k}"]) if k < 40 else f"other{k} " * 8) for k in range(3000)]
+    got = jaccard.links(docs(rows))
+    assert got.count() == 3000
+    assert got.where("n_links = 39").count() == 40
+    assert got.where("n_links > 0").count() == 40
+
+
 def test_empty_table(docs):
     assert jaccard.links(docs([])).count() == jaccard.one_of_each(docs([])).count() == 0
 
