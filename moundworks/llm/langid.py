@@ -36,9 +36,15 @@ def trigrams(text: str) -> np.ndarray:
 
 
 def train(docs: DataFrame, train_rows: int = 20_000) -> tuple[list[str], np.ndarray]:
-    """Languages and the log probability of each trigram slot in each. Trained on the ``train_rows``
-    rows of known language whose doc_id has the smallest hash; only sums come to the driver."""
-    some = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).orderBy(F.xxhash64("doc_id"), "doc_id").select("text", "lang").limit(train_rows)
+    """Languages and the log probability of each trigram slot in each. Trained on at most
+    ``train_rows`` distinct rows (doc_id and text) of known language, those of the smallest hash; a
+    bound on the hash picks them where they are, and only sums come to the driver."""
+    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("text", "lang", F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 2).alias("h"))
+    n = known.count()
+    share = int(min(1.0, 1.2 * train_rows / max(n, 1)) * (1 << 62)) - 1  # about a fifth more than wanted
+    first = known.where(F.col("h") <= share).select("h").distinct().orderBy("h").limit(train_rows + 1).agg(F.max("h").alias("h"), F.count("*").alias("n")).first()
+    bound = first["h"] if first["n"] > train_rows else share + 1
+    some = known.where(F.col("h") < bound).dropDuplicates(["h"]).select("text", "lang")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
@@ -63,7 +69,9 @@ def identify(pages: DataFrame, docs: DataFrame, trust: float = 50.0, most_trigra
 
     Trigrams overlap, so a text speaks as loudly as ``most_trigrams`` of them at most. ``trust`` is
     how many pages the coarser prior counts as. A page without text, declaration or host gets what
-    the rest says, in the end the prior of all pages; with no row of known language lang is null.
+    the rest says, in the end the prior of all pages; with no row of known language lang is null. A
+    null page_id stays null, repeated rows are each a row and count as often, an empty table gives no
+    rows, and other columns, whatever their names, are not looked at.
     """
     spark = pages.sparkSession
     shared.ship(spark)

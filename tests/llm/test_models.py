@@ -306,3 +306,29 @@ def test_gamma_tables():
         assert (np.diff(t) > 0).all()
         x = math.exp(t[128])
         assert 1 - math.exp(-x) * (1 + x) == pytest.approx(128.5 / 256 / 16**k, rel=1e-3)
+
+
+def test_ranges_follow_the_input(spark):
+    """Far more than 512 of them; each row's range is what a search in the sorted first ids says."""
+    from pyspark.sql import functions as F
+
+    df = spark.range(0, 30_000, 3).select((F.col("id") * 7919 % 30_011).alias("doc_id"))
+    number, firsts = weighted_fingerprints.ranges(df, F.col("doc_id"), 2_000)
+    got = np.array([tuple(r) for r in df.select("doc_id", number).collect()])
+    first = np.array(sorted(r["first"] for r in firsts.collect()))
+    assert 1_900 <= len(first) <= 2_000
+    want = np.searchsorted(first, got[:, 0], side="right")
+    assert len(set(zip(want.tolist(), got[:, 1].tolist(), strict=True))) == len(first)
+    assert np.bincount(got[:, 1]).max() <= 50
+
+
+def test_language_is_trained_on_a_bound_of_distinct_rows(spark):
+    rows = [(n, f"text number {n}", "en" if n % 2 else "de") for n in range(50)] * 4
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    for bound, most in ((1, 1), (10, 10), (1000, 50)):
+        langs, table = langid.train(docs, bound)
+        assert len(langs) <= 2 and (table.shape[0] == len(langs))
+        n = sum(len(langid.trigrams(t)) for t in {t for _, t, _ in rows})
+        weights = [1 / np.exp(x.min()) * 0.5 - 0.5 * (1 << langid.BITS) for x in table]
+        assert sum(weights) <= n * most / 50 * 1.2 + 1
+    assert langid.train(docs.limit(0))[0] == []
