@@ -23,6 +23,7 @@ from moundworks.llm import shared
 
 LEAST = -(1 << 63)  # orders null doc_ids, before all others
 TURN = 16
+MOST_RANGES = 1 << 15  # beyond it ranges get longer: 3 GB of 100 TB each, sorted on disk
 
 
 def ranges(docs: DataFrame, order: Column, n: int) -> tuple[Column, DataFrame]:
@@ -31,14 +32,17 @@ def ranges(docs: DataFrame, order: Column, n: int) -> tuple[Column, DataFrame]:
     the first range: the last). ``n`` bounds all that comes to the driver and goes back."""
     cuts = docs.agg(F.percentile_approx(order, [i / n for i in range(1, n)], 20 * n)).first()[0] if n > 1 else None
     cuts = sorted(set(cuts or []))
+    step = max(1, math.isqrt(len(cuts)))
 
-    def tree(low: int, high: int) -> Column:
-        if low == high:
-            return F.lit(low)
-        mid = (low + high) // 2
-        return F.when(order < cuts[mid], tree(low, mid)).otherwise(tree(mid + 1, high))
+    def reached(some: Column) -> Column:
+        return F.size(F.filter(some, lambda c: c <= order))
 
-    number = tree(0, len(cuts)).cast("long")
+    def literal(some: list[int]) -> Column:
+        return F.lit(np.array(some, np.int64)) if some else F.array().cast("array<long>")
+
+    # how many cuts are reached: whole steps of them first, then those of the next step
+    whole = reached(literal(cuts[step - 1 :: step])) * step
+    number = (whole + reached(F.slice(literal(cuts), whole + 1, F.lit(step)))).cast("long")
     firsts = sorted((r["range"], r["first"]) for r in docs.groupBy(number.alias("range")).agg(F.min(order).alias("first")).collect())
     before = [firsts[-1][0], *(r for r, _ in firsts)] if firsts else []
     return number, docs.sparkSession.createDataFrame([(first, before[i]) for i, (_, first) in enumerate(firsts)], "first long, into long")
@@ -48,8 +52,8 @@ def with_next(docs: DataFrame) -> DataFrame:
     """Each document beside the next one's text: range, rn (its place there), doc_id, text,
     next_text, and extra: true for a copy of the next range's first document, which closes a range."""
     order = F.coalesce("doc_id", F.lit(LEAST))
-    tasks = shared.parts(docs.sparkSession, shared.input_bytes(docs), 2 << 20)
-    number, firsts = ranges(docs, order, min(512, 2 * tasks))
+    tasks = min(MOST_RANGES, shared.parts(docs.sparkSession, shared.input_bytes(docs), 2 << 20))
+    number, firsts = ranges(docs, order, min(MOST_RANGES, 2 * tasks))
     real = docs.select(number.alias("range"), F.lit(False).alias("extra"), order.alias("order"), "text")
     extra = docs.join(F.broadcast(firsts), order == F.col("first"))  # a row a range
     extra = extra.select(F.col("into").alias("range"), F.lit(True).alias("extra"), order.alias("order"), "text")
@@ -70,14 +74,14 @@ def gamma_quantile(u: float) -> float:
     return math.exp(high)
 
 
-STEPS, LEVELS = 256, 6
+R_BITS, STEPS, LEVELS = 12, 256, 6
 
 
 @lru_cache
 def tables() -> tuple[np.ndarray, np.ndarray]:
     """Quantiles of r at even steps; and of ln c, level after level, at steps from 0 to each of 1, 1/16,
     1/256, ...: the smaller u, the finer."""
-    r = np.array([gamma_quantile((i + 0.5) / STEPS) for i in range(STEPS)])
+    r = np.array([gamma_quantile((i + 0.5) / (1 << R_BITS)) for i in range(1 << R_BITS)])
     c = np.array([math.log(gamma_quantile((i + 0.5) / STEPS / 16**k)) for k in range(LEVELS) for i in range(STEPS)])
     return r, c
 
@@ -86,8 +90,9 @@ def value(h: Column, log_weight: str) -> Column:
     """A term's value in one sample, from its hash there. Logarithms would cost most, so r and ln c
     come from tables of the gamma distribution's quantiles, and one hash has the bits of r, b and c."""
     r_table, c_table = tables()
-    r = F.lit(r_table)[F.shiftrightunsigned(h, 56).cast("int")]
-    b = F.shiftrightunsigned(h, 32).bitwiseAND(F.lit((1 << 24) - 1)).cast("double") * (0.5**24) + 0.5**25
+    b_bits = 32 - R_BITS
+    r = F.lit(r_table)[F.shiftrightunsigned(h, 64 - R_BITS).cast("int")]
+    b = F.shiftrightunsigned(h, 32).bitwiseAND(F.lit((1 << b_bits) - 1)).cast("double") * (0.5**b_bits) + 0.5 ** (b_bits + 1)
     x = h.bitwiseAND(F.lit((1 << 32) - 1))
     step = F.when(x >= 1 << 28, F.shiftright(x, 24))
     for level in range(1, LEVELS - 1):
