@@ -162,7 +162,8 @@ def scores(texts: list[str | None], model: Model) -> np.ndarray:
 
 
 def without_toxic(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
-    """The rows of ``docs``, whole, whose score is below the threshold."""
+    """The rows of ``docs``, whole, whose score is below the threshold. Columns may have any names;
+    repeated rows stay or go together; a null text is empty; an empty table stays empty."""
     shared.ship(docs.sparkSession)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,11 +205,15 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = 20_000, **options:
     shared.ship(docs.sparkSession)
     some = labels.select("doc_id", F.col("toxic").cast("int").alias("label")).where(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull() & ~F.coalesce(held_out(), F.lit(True)))
     some = some.groupBy("doc_id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
-    rows = shared.staged(docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("text", "label"), "labelled")
+    rows = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("text", "label")
+    # so few rows lie in few files: they are dealt out, as counting their n-grams takes longest
+    rows = shared.staged(rows.repartition(shared.parts(docs.sparkSession, 0, 1)), "labelled")
     return train(rows, **options)
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, **options: float) -> DataFrame:
-    """doc_id, held_out, score, predicted of every row."""
+    """doc_id, held_out, score, predicted of every row. A null doc_id isn't held out, null and empty
+    texts get what the bias alone says, repeated rows are each a row with one score, an empty table
+    gives no rows, and other columns, whatever their names, are not looked at."""
     scored = score(docs, fit(docs, labels, **options))
     return scored.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
