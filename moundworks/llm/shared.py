@@ -34,8 +34,7 @@ def fresh_dir(spark: SparkSession, name: str) -> str:
     """A new folder name under the shared folder (not created). What is written there serves frames
     of this process, so it is removed when the process ends."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    if not _made:
-        atexit.register(clean)
+    _at_exit()
     _made.append(path)
     return path
 
@@ -43,10 +42,16 @@ def fresh_dir(spark: SparkSession, name: str) -> str:
 def fresh_table(name: str) -> str:
     """A new name for a table of the session's catalog, which loses it when the process ends."""
     table = f"moundworks_{name}_{uuid.uuid4().hex}"
+    _at_exit()
     _tables.append(table)
     return table
 
 
+def _at_exit() -> None:
+    if not _made and not _tables:
+        atexit.register(clean)
+
+
 _made: list[str] = []
 _tables: list[str] = []
 
@@ -55,8 +60,10 @@ def clean() -> None:
     """Remove the tables and folders that this process had written, as far as they can be reached."""
     spark = SparkSession.getActiveSession()
     while _tables:
+        name = _tables.pop()  # before anything can fail: the loop must end without a session too
         with contextlib.suppress(Exception):
-            spark.sql(f"DROP TABLE IF EXISTS {_tables.pop()}")
+            if spark is not None:
+                spark.sql(f"DROP TABLE IF EXISTS {name}")
     while _made:
         path = _made.pop()
         with contextlib.suppress(Exception):  # the process ends; what stays is only space

@@ -96,6 +96,14 @@ def test_tables_leave_the_catalog(spark, docs, monkeypatch):
     assert not spark.catalog.tableExists(name)
 
 
+def test_cleaning_ends_without_a_session(monkeypatch):
+    monkeypatch.setattr(shared, "_made", [])
+    monkeypatch.setattr(shared, "_tables", ["a", "b"])
+    monkeypatch.setattr(shared.SparkSession, "getActiveSession", lambda: None)
+    shared.clean()
+    assert shared._tables == []
+
+
 def test_suffix_arrays_decide_all_that_repeats(monkeypatch):
     """Of the windows of a bucket, all that occur in two strings go through a suffix array."""
     sorted_windows = []
