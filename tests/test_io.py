@@ -28,6 +28,21 @@ def test_csv_and_missing_columns(spark, tmp_path):
         schemas.require(df, schemas.PARK_FACTORS)
 
 
+def test_nested_json_round_trip(spark, tmp_path):
+    path = f"file://{tmp_path}/j"
+    df = spark.createDataFrame([(1.5, [("a", "Over"), ("b", None)]), (None, [])], "ev double, legs array<struct<player:string,side:string>>")
+    sinks.write_json(df, path)
+    assert sorted(map(repr, spark.read.schema(df.schema).json(path).collect())) == sorted(map(repr, df.collect()))
+
+
+def test_season_window(spark, tmp_path):
+    path = f"file://{tmp_path}/p"
+    rows = [(1, "2024-03-31", 2024), (2, "2024-04-01", 2024), (3, "2024-10-01", 2024), (4, "2024-10-02", 2024), (5, "2023-05-01", 2023)]
+    sinks.write_parquet(spark.createDataFrame(rows, "k int, game_date string, season int"), path, "season")
+    assert sorted(r.k for r in readers.read_pitches(spark, path, 2024).collect()) == [2, 3]
+    assert readers.read_pitches(spark, path).count() == 5
+
+
 def test_nan_and_infinity_become_null(spark):
     df = nan_to_null(spark.createDataFrame([(float("nan"),), (float("inf"),), (1.0,), (None,)], "x double"))
     assert [r.x for r in df.collect()] == [None, None, 1.0, None]
