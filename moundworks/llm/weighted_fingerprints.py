@@ -26,6 +26,13 @@ TURN = 16
 MOST_RANGES = 1 << 15  # beyond it ranges get longer: 3 GB of 100 TB each, sorted on disk
 
 
+def constants(values: list | np.ndarray, kind: str) -> Column:
+    """A constant array, handed over as one text: the planner folds it once, where a literal for each
+    value takes the driver seconds."""
+    text = ",".join(map(repr, map(float if kind == "double" else int, values)))
+    return (F.split(F.lit(text), ",") if text else F.array()).cast(f"array<{kind}>")
+
+
 def ranges(docs: DataFrame, order: Column, n: int) -> tuple[Column, DataFrame]:
     """Deals rows to at most ``n`` ranges of doc_id of like size. Returns the range's number and, for
     the first doc_id of each range that has rows (``first``), the range before it (``into``; before
@@ -37,12 +44,9 @@ def ranges(docs: DataFrame, order: Column, n: int) -> tuple[Column, DataFrame]:
     def reached(some: Column) -> Column:
         return F.size(F.filter(some, lambda c: c <= order))
 
-    def literal(some: list[int]) -> Column:
-        return F.lit(np.array(some, np.int64)) if some else F.array().cast("array<long>")
-
     # how many cuts are reached: whole steps of them first, then those of the next step
-    whole = reached(literal(cuts[step - 1 :: step])) * step
-    number = (whole + reached(F.slice(literal(cuts), whole + 1, F.lit(step)))).cast("long")
+    whole = reached(constants(cuts[step - 1 :: step], "long")) * step
+    number = (whole + reached(F.slice(constants(cuts, "long"), whole + 1, F.lit(step)))).cast("long")
     firsts = sorted((r["range"], r["first"]) for r in docs.groupBy(number.alias("range")).agg(F.min(order).alias("first")).collect())
     before = [firsts[-1][0], *(r for r, _ in firsts)] if firsts else []
     return number, docs.sparkSession.createDataFrame([(first, before[i]) for i, (_, first) in enumerate(firsts)], "first long, into long")
@@ -86,19 +90,18 @@ def tables() -> tuple[np.ndarray, np.ndarray]:
     return r, c
 
 
-def value(h: Column, log_weight: str) -> Column:
+def value(h: Column, log_weight: str, r_table: Column, c_table: Column) -> Column:
     """A term's value in one sample, from its hash there. Logarithms would cost most, so r and ln c
     come from tables of the gamma distribution's quantiles, and one hash has the bits of r, b and c."""
-    r_table, c_table = tables()
     b_bits = 32 - R_BITS
-    r = F.lit(r_table)[F.shiftrightunsigned(h, 64 - R_BITS).cast("int")]
+    r = r_table[F.shiftrightunsigned(h, 64 - R_BITS).cast("int")]
     b = F.shiftrightunsigned(h, 32).bitwiseAND(F.lit((1 << b_bits) - 1)).cast("double") * (0.5**b_bits) + 0.5 ** (b_bits + 1)
     x = h.bitwiseAND(F.lit((1 << 32) - 1))
     step = F.when(x >= 1 << 28, F.shiftright(x, 24))
     for level in range(1, LEVELS - 1):
         step = step.when(x >= 1 << (28 - 4 * level), F.shiftright(x, 24 - 4 * level) + level * STEPS)
     step = step.otherwise(F.shiftright(x, 28 - 4 * LEVELS) + (LEVELS - 1) * STEPS)
-    return F.lit(c_table)[step.cast("int")] - r * (F.floor(F.col(log_weight) / r + b).cast("double") - b + 1.0)
+    return c_table[step.cast("int")] - r * (F.floor(F.col(log_weight) / r + b).cast("double") - b + 1.0)
 
 
 def fingerprints(docs: DataFrame, samples: int = 64) -> DataFrame:
@@ -143,7 +146,8 @@ def fingerprints(docs: DataFrame, samples: int = 64) -> DataFrame:
     entries = F.when(F.col("own") == F.col("other"), F.array(entry[0])).when(F.col("other") == 0, F.array(entry[1])).when(F.col("own") == 0, F.array(entry[2])).otherwise(F.array(entry[1], entry[2]))
     # samples go by turns of TURN: more values in one aggregation are too much code for the compiler
     weighted = weighted.select("range", "rn", "term", F.inline(entries)).select("range", "rn", "term", "whose", "w", F.explode(F.array(*map(F.lit, range(0, samples, TURN)))).alias("turn"))
-    one_by_one = [F.min(value(F.xxhash64("term", F.col("turn") + k), "w")).alias(f"v{k}") for k in range(TURN)]
+    r_table, c_table = [constants(t, "double") for t in tables()]
+    one_by_one = [F.min(value(F.xxhash64("term", F.col("turn") + k), "w", r_table, c_table)).alias(f"v{k}") for k in range(TURN)]
     least = weighted.groupBy("range", "rn", "whose", "turn").agg(*one_by_one)
     least = least.groupBy("range", "rn", "turn").agg(*[F.min(F.when(F.col("whose") != not_of, F.col(f"v{k}"))).alias(f"{c}{k}") for c, not_of in (("own", 2), ("other", 1)) for k in range(TURN)])
 
