@@ -61,7 +61,9 @@ def mix(
     docs: DataFrame, target_entropy: float | None = None, repetition_limit: float | None = 2.0, budget: int | None = None, seed: int = 0, block_rows: int = 4096, max_sources: int = 100_000, tokens: Column | None = None
 ) -> DataFrame:
     """The mixture: the columns of ``docs`` and, where these do not have such names, mix_tokens,
-    mix_pass (from 0), mix_block and mix_order (the block's and then the row's hash give a pass's order).
+    mix_pass (from 0), mix_block, mix_order (the block's hash in this pass) and mix_row (the row's):
+    a pass goes by (mix_order, mix_block, mix_row), and the last one takes the first blocks and rows of
+    that order.
 
     A null source is a source. A document without tokens is in every whole pass. The table of sources
     comes to the driver: more than ``max_sources`` are refused. Rows of one doc_id and text go together:
@@ -108,5 +110,5 @@ def mix(
     out = out.join(edge, F.col("_source").eqNullSafe(F.col("_es")) & (F.col("_key") == F.col("_ek")), "left")
     n = F.col("_whole") + F.when(F.col("_taken").isNotNull() | F.col("_edge").isNotNull(), 1).otherwise(0)
     out = out.where(n > 0).select("*", F.explode(F.sequence(F.lit(0).cast("long"), n - 1)).alias("_pass"))
-    more = {"mix_tokens": F.col("_tokens"), "mix_pass": F.col("_pass"), "mix_block": F.col("_block"), "mix_order": F.xxhash64(F.lit(seed), "_pass", "_source", "_block")}
+    more = {"mix_tokens": F.col("_tokens"), "mix_pass": F.col("_pass"), "mix_block": F.col("_block"), "mix_order": F.xxhash64(F.lit(seed), "_pass", "_source", "_block"), "mix_row": F.xxhash64(F.lit(seed), "_pass", "_key")}
     return out.select("row.*", *[c.alias(name) for name, c in more.items() if name not in docs.columns])

@@ -20,7 +20,7 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mix(table(spark, sf_dir, "documents"), repetition_limit=2.0)
-    return out.select("doc_id", "source", "mix_tokens", "mix_pass", "mix_block", "mix_order")
+    return out.select("doc_id", "source", "mix_tokens", "mix_pass", "mix_block", "mix_order", "mix_row")
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

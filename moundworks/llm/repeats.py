@@ -35,7 +35,7 @@ from moundworks.llm import shared
 NO_ID = -(1 << 63)  # stands for a null doc_id, before all others
 BASE = np.uint64(0x9E3779B97F4A7C15)
 PIECE = 1 << 17  # units hashed at a time, so that the work stays in the processor's cache
-MOST_TASKS = 20_000  # of a shuffle, and table buckets; beyond it tasks get more buckets, which stay small
+MOST_TASKS = shared.MOST_PARTS  # table buckets too; beyond it tasks get more buckets, which stay small
 
 
 def dump(x: object) -> bytes:
@@ -314,7 +314,7 @@ def repeated_windows(docs: DataFrame, plan: Plan, first_places: Callable, digest
     """
     spark = docs.sparkSession
     shared.ship(spark)
-    buckets = buckets or shared.parts(spark, shared.input_bytes(docs), bucket_bytes)
+    buckets = buckets or shared.parts(spark, shared.input_bytes(docs), bucket_bytes, most=None)
     tasks = min(buckets, most_tasks)
     blocks = pack_blocks(docs, plan, tasks, block_bytes, whole_rows)
 

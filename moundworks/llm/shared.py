@@ -114,7 +114,12 @@ def input_bytes(df: DataFrame) -> int:
     return df.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
 
 
-def parts(spark: SparkSession, size: int, each: int) -> int:
-    """How many tasks so that each gets about ``each`` bytes, but no fewer than the session's
-    number of shuffle partitions."""
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // each), 1)
+#: Of a shuffle: beyond it each task's share grows, and is sorted on disk.
+MOST_PARTS = 20_000
+
+
+def parts(spark: SparkSession, size: int, each: int, most: int | None = MOST_PARTS) -> int:
+    """How many tasks so that each gets about ``each`` bytes, but no more than ``most`` (None: no
+    bound) and no fewer than the session's number of shuffle partitions."""
+    n = max(-(-size // each), 1)
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), n if most is None else min(n, most))

@@ -56,7 +56,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     """Each document beside the next one's text: range, rn (its place there), doc_id, text,
     next_text, and extra: true for a copy of the next range's first document, which closes a range."""
     order = F.coalesce("doc_id", F.lit(LEAST))
-    tasks = min(MOST_RANGES, shared.parts(docs.sparkSession, shared.input_bytes(docs), 2 << 20))
+    tasks = shared.parts(docs.sparkSession, shared.input_bytes(docs), 2 << 20, MOST_RANGES)
     number, firsts = ranges(docs, order, min(MOST_RANGES, 2 * tasks))
     real = docs.select(number.alias("range"), F.lit(False).alias("extra"), order.alias("order"), "text")
     extra = docs.join(F.broadcast(firsts), order == F.col("first"))  # a row a range

@@ -103,7 +103,7 @@ def test_mixture_chooses_whole_rows_within_its_budget(docs):
     rows = [(i % 90, f"w{i % 90} " * (i % 7 + 1), "a" if i % 3 else None, i, 1, 2, 3, 4, 5, 6) for i in range(270)]
     df = docs(rows, ", source string, _tokens int, _key int, _source int, _pass int, _s int, _whole int, row int")
     got = mixing.mix(df, repetition_limit=None, budget=700, block_rows=16)
-    assert got.columns == [*df.columns, "mix_tokens", "mix_pass", "mix_block", "mix_order"]
+    assert got.columns == [*df.columns, "mix_tokens", "mix_pass", "mix_block", "mix_order", "mix_row"]
     got = got.collect()
     assert {(r._key, r._source, r._pass, r._s, r._whole, r.row) for r in got} == {(1, 2, 3, 4, 5, 6)}
     hashed = df.select("doc_id", "source", "_tokens", F.xxhash64("doc_id", "text").alias("key"), mixing.word_count().alias("n")).collect()
@@ -123,6 +123,39 @@ def test_mixture_chooses_whole_rows_within_its_budget(docs):
         assert sum(r.mix_tokens for r in extra) > rest - largest
 
 
+def test_passes_follow_their_permutation(spark, docs):
+    """Blocks, their order and the last pass's blocks and rows, again from the hashes alone."""
+    rows = [(i, f"w{i} " * (i % 7 + 1), "ab"[i % 3 > 0]) for i in range(600)]
+    df, seed, block_rows, budget = docs(rows, ", source string"), 7, 16, 3000
+    got = mixing.mix(df, repetition_limit=None, budget=budget, seed=seed, block_rows=block_rows).collect()
+    size = {s: sum(i % 7 + 1 for i, _, x in rows if x == s) for s in "ab"}
+    each = dict(zip("ab", mixing.passes([float(size[s]) for s in "ab"], mixing.weights([float(size[s]) for s in "ab"], 0.0), budget), strict=True))
+    for s in "ab":
+        whole = int(each[s] + 1e-9)
+        rest = round((each[s] - whole) * size[s])
+        n_blocks = -(-sum(x == s for _, _, x in rows) // block_rows)
+        key = F.xxhash64("doc_id", "text")
+        x = df.where(F.col("source") == s).withColumn("key", key).withColumn("block", F.pmod(F.xxhash64("key", F.lit(seed)), F.lit(n_blocks).cast("long")))
+        turn = F.lit(whole).cast("long")
+        x = x.select("doc_id", "block", mixing.word_count().alias("n"), F.xxhash64(F.lit(seed), turn, "source", "block").alias("order"), F.xxhash64(F.lit(seed), turn, "key").alias("row")).collect()
+        want, left = [], rest
+        for _, b in sorted({(r.order, r.block) for r in x}):
+            mine = sorted((r.row, r.doc_id, r.n) for r in x if r.block == b)
+            if sum(n for *_, n in mine) <= left:
+                want += [d for _, d, _ in mine]
+                left -= sum(n for *_, n in mine)
+                continue
+            for _, d, n in mine:
+                if n > left:
+                    break
+                want.append(d)
+                left -= n
+            break
+        last = sorted((r for r in got if r.source == s and r.mix_pass == whole), key=lambda r: (r.mix_order, r.mix_block, r.mix_row))
+        assert [r.doc_id for r in last] == want
+        assert want
+
+
 def hashed_rows(rows, source):
     return [type("R", (), {"doc_id": r.doc_id, "mix_tokens": r.n}) for r in rows if r.source == source]
 

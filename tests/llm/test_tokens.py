@@ -93,3 +93,13 @@ def test_the_fullest_bin_takes_and_the_fullest_closes():
     assert [b.place(x) for x in (4, 7, 3, 6, 5)] == [(0, 0), (1, 0), (1, 7), (0, 4), (2, 0)]
     b = packing.BestFit(10, 2)
     assert [b.place(x) for x in (6, 7, 8, 4, 3)] == [(0, 0), (1, 0), (2, 0), (0, 6), (3, 0)]
+
+
+def test_tasks_are_bounded(spark):
+    """100 TB make no more tasks than a shuffle can have, whatever a task's share is."""
+    from moundworks.llm import shared
+
+    assert shared.parts(spark, 100 * 10**12, 8 << 20) == shared.MOST_PARTS == 20_000
+    assert shared.parts(spark, 100 * 10**12, 2 << 20, 1 << 15) == 1 << 15
+    assert shared.parts(spark, 100 * 10**12, 4 << 20, most=None) == -(-100 * 10**12 // (4 << 20))
+    assert shared.parts(spark, 0, 8 << 20) == int(spark.conf.get("spark.sql.shuffle.partitions"))
