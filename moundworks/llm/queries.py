@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from moundworks.llm import jaccard, langid, mixing, multi_index, oracles, packed_ids, packing, suffix, superkmers, toxicity, weighted_fingerprints
+from moundworks.llm import codes, jaccard, langid, mixing, multi_index, oracles, packed_ids, packing, suffix, superkmers, toxicity, weighted_fingerprints, whitening
 from moundworks.llm.shared import table
 
 
@@ -56,6 +56,14 @@ def op10_weighted_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weighted_fingerprints.fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op11_digit_slice_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op12_delta_lloyd_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.quantise(table(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline  # stands at the repository's top and imports this module
 
@@ -74,6 +82,8 @@ QUERIES = {
     "op8_inverted_multi_index": op8_inverted_multi_index,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
     "op10_weighted_fingerprints": op10_weighted_fingerprints,
+    "op11_digit_slice_whitening": op11_digit_slice_whitening,
+    "op12_delta_lloyd_codes": op12_delta_lloyd_codes,
 }
 #: Removal of byte strings can be said in SQL too, but takes minutes on the smallest table.
 ORACLES = {"op6_super_kmer_dedup": oracles.OP6, "op9_ngram_jaccard_join": oracles.OP9}

@@ -11,7 +11,7 @@ import zipfile
 from pathlib import Path
 from urllib.parse import urlparse
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -105,13 +105,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def input_bytes(df: DataFrame) -> int:
+def input_bytes(df: DataFrame, each: Column | None = None) -> int:
     """Bytes of the files that ``df`` reads, as the planner knows them without a scan; it sizes the
-    tasks of what follows. Where the planner has no figure, the rows are read and summed."""
+    tasks of what follows. Where the planner has no figure, the rows are read and ``each`` of them
+    (default: the length of its text) summed."""
     n = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     if n < 1 << 55:
         return n
-    return df.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+    return df.agg(F.sum(F.octet_length("text") if each is None else each).alias("n")).first()["n"] or 0
 
 
 #: Of a shuffle: beyond it each task's share grows, and is sorted on disk.
