@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from moundworks.llm import codes, jaccard, langid, mixing, multi_index, oracles, packed_ids, packing, suffix, superkmers, toxicity, weighted_fingerprints, whitening
+from moundworks.llm import codes, jaccard, langid, main_text, mixing, multi_index, oracles, packed_ids, packing, suffix, superkmers, toxicity, weighted_fingerprints, whitening
 from moundworks.llm.shared import table
 
 
@@ -64,6 +64,10 @@ def op12_delta_lloyd_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codes.quantise(table(spark, sf_dir, "embeddings"))
 
 
+def op13_tree_model_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text.extract(table(spark, sf_dir, "pages"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline  # stands at the repository's top and imports this module
 
@@ -84,6 +88,7 @@ QUERIES = {
     "op10_weighted_fingerprints": op10_weighted_fingerprints,
     "op11_digit_slice_whitening": op11_digit_slice_whitening,
     "op12_delta_lloyd_codes": op12_delta_lloyd_codes,
+    "op13_tree_model_main_text": op13_tree_model_main_text,
 }
 #: Removal of byte strings can be said in SQL too, but takes minutes on the smallest table.
 ORACLES = {"op6_super_kmer_dedup": oracles.OP6, "op9_ngram_jaccard_join": oracles.OP9}

@@ -31,7 +31,7 @@ def test_queries_are_registered():
     import __spark_entry__ as e
 
     names = list(e.queries())
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert sum(x.startswith(f"op{n}_") for x in names) == 1
     assert "pipeline" in names
     assert set(e.oracle_sql()) <= set(names)
