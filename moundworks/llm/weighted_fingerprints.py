@@ -16,7 +16,7 @@ import math
 from functools import lru_cache
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from moundworks.llm import shared
@@ -27,12 +27,17 @@ MOST_RANGES = 1 << 15  # beyond it ranges get longer: 3 GB of 100 TB each, sorte
 
 
 def constants(values: list | np.ndarray, kind: str) -> Column:
-    """A constant array, handed over as one text: the planner folds it once, where a literal for each
-    value takes the driver seconds."""
+    """A constant array, handed over as one text that the planner folds once: a literal for each value
+    takes the driver seconds."""
     text = ",".join(map(repr, map(float if kind == "double" else int, values)))
     return (F.split(F.lit(text), ",") if text else F.array()).cast(f"array<{kind}>")
 
 
+def held(spark: SparkSession, values: np.ndarray) -> Column:
+    """The same as a scalar subquery, so that a plan's description has it once, not for each use."""
+    return spark.range(1).select(constants(values, "double")).scalar()
+
+
 def ranges(docs: DataFrame, order: Column, n: int) -> tuple[Column, DataFrame]:
     """Deals rows to at most ``n`` ranges of doc_id of like size. Returns the range's number and, for
     the first doc_id of each range that has rows (``first``), the range before it (``into``; before
@@ -146,7 +151,7 @@ def fingerprints(docs: DataFrame, samples: int = 64) -> DataFrame:
     entries = F.when(F.col("own") == F.col("other"), F.array(entry[0])).when(F.col("other") == 0, F.array(entry[1])).when(F.col("own") == 0, F.array(entry[2])).otherwise(F.array(entry[1], entry[2]))
     # samples go by turns of TURN: more values in one aggregation are too much code for the compiler
     weighted = weighted.select("range", "rn", "term", F.inline(entries)).select("range", "rn", "term", "whose", "w", F.explode(F.array(*map(F.lit, range(0, samples, TURN)))).alias("turn"))
-    r_table, c_table = [constants(t, "double") for t in tables()]
+    r_table, c_table = [held(docs.sparkSession, t) for t in tables()]
     one_by_one = [F.min(value(F.xxhash64("term", F.col("turn") + k), "w", r_table, c_table)).alias(f"v{k}") for k in range(TURN)]
     least = weighted.groupBy("range", "rn", "whose", "turn").agg(*one_by_one)
     least = least.groupBy("range", "rn", "turn").agg(*[F.min(F.when(F.col("whose") != not_of, F.col(f"v{k}"))).alias(f"{c}{k}") for c, not_of in (("own", 2), ("other", 1)) for k in range(TURN)])
