@@ -9,17 +9,20 @@ from moundworks.functions.semantics import decimal_odds
 
 
 def strikeout_lines(odds: DataFrame, strict: bool = True) -> DataFrame:
-    """Lines of players marked as starting, in the documents' order of lines.
+    """Lines of players marked as starting, in each document's order of lines.
 
-    Missing arrays are empty. A line without a higher and a lower option is an error in the strict
-    form, and has nulls in the lenient one. Numbers are text in the documents; what is none is null.
+    Documents are kept apart: a line meets the appearances of its own document only, inside the row.
+    Missing arrays are empty, and so is a document that could not be parsed. A line without a higher and
+    a lower option is an error in the strict form, and has nulls in the lenient one. Numbers are text
+    in the documents; what is none is null.
     """
-    starting = odds.select(F.explode("appearances").alias("a")).where(
-        F.exists(F.coalesce("a.badges", F.array().cast("array<struct<label:string,value:string>>")), lambda b: F.coalesce((b.label == "Starting") & (b.value == "Yes"), F.lit(False)))
+    starting = F.filter(
+        F.coalesce("appearances", F.array().cast("array<struct<id:string,badges:array<struct<label:string,value:string>>>>")),
+        lambda a: F.exists(F.coalesce(a.badges, F.array().cast("array<struct<label:string,value:string>>")), lambda b: F.coalesce((b.label == "Starting") & (b.value == "Yes"), F.lit(False))),
     )
-    starting = starting.select(F.col("a.id").alias("_id")).distinct()
-    lines = odds.select(F.explode("over_under_lines").alias("l"))
-    lines = lines.join(starting, F.col("l.over_under.appearance_stat.appearance_id") == F.col("_id"), "left_semi")
+    x = odds.select(F.transform(starting, lambda a: a.id).alias("ids"), "over_under_lines")
+    of_line = lambda line: line.over_under.appearance_stat.appearance_id
+    lines = x.select(F.explode(F.filter("over_under_lines", lambda line: F.coalesce(F.array_contains("ids", of_line(line)), F.lit(False)))).alias("l"))
     pick = F.element_at if strict else F.try_element_at
 
     def option(choice: str):

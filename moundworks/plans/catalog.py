@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -11,7 +9,7 @@ from pyspark.sql import functions as F
 
 from moundworks import schemas
 from moundworks.functions.semantics import batting_team, decimal_odds, fielding_team, first_non_null, opposing_team
-from moundworks.operators import context, features, games, models, odds, pricing, slips
+from moundworks.operators import boosting, context, features, games, models, odds, pricing, slips
 from moundworks.plans import oracles as o
 from moundworks.plans import views
 from moundworks.sources import readers, sinks
@@ -39,9 +37,7 @@ def pitches(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder that the whole cluster sees; a temporary one where none is set."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="moundworks-")
-    return f"{top.rstrip('/')}/sink-{uuid.uuid4().hex}"
+    return sinks.scratch_dir(spark, "sink")
 
 
 # Sources and sinks
@@ -305,6 +301,15 @@ def price_lines(spark: SparkSession, sf: str) -> DataFrame:
     return priced(spark, sf).select("pitcher_name", "k_line", *[F.round(c, 6).alias(c) for c in ROUNDED])
 
 
+@query(
+    f"SELECT pitcher_name, k_line, round(1 - p, 12) AS p_over, round(p, 12) AS p_under FROM (SELECT pitcher_name, k_line, {o.exact_phi('z')} AS p FROM ("
+    f"SELECT pitcher_name, k_line, (k_line - k_pred_mean) / sqrt(k_pred_std * k_pred_std + residual_std * residual_std) AS z FROM ({views.PREDICTIONS}) p JOIN ({views.LINES}) l ON p.pitcher_name = l.player) a) b"
+)
+def price_exact(spark: SparkSession, sf: str) -> DataFrame:
+    x = pricing.price(views.view(spark, sf, views.PREDICTIONS), views.view(spark, sf, views.LINES), exact=True)
+    return x.select("pitcher_name", "k_line", *[F.round(c, 12).alias(c) for c in ("p_over", "p_under")])
+
+
 @query(f"SELECT pitcher_name, k_line, round(ev_over, 6) AS ev_over FROM ({o.priced()}) x ORDER BY round(ev_over, 6) DESC, pitcher_name LIMIT 10")
 def topk_ev(spark: SparkSession, sf: str) -> DataFrame:
     x = priced(spark, sf).select("pitcher_name", "k_line", F.round("ev_over", 6).alias("ev_over"))
@@ -396,6 +401,33 @@ def residual_std(spark: SparkSession, sf: str) -> DataFrame:
     return pricing.residual_deviation(residuals(spark, sf)).select("pitcher_name", F.round("residual_std", 6).alias("residual_std"))
 
 
+#: Five made-up models' predictions of each game.
+PSEUDO = "strikeouts + 0.5 * ((m * 3 + pitcher) % 4) - 0.6 + 0.1 * m"
+
+
+@query(
+    f"{RESIDUALS}, s AS ({views.STARTERS}), l AS ({views.LINES}), e AS (SELECT pitcher, game_date, avg({PSEUDO}) AS k_pred_mean, greatest(stddev_pop({PSEUDO}), 0.75) AS k_pred_std "
+    f"FROM ({o.counted('pitches')}) c, (VALUES (0), (1), (2), (3), (4)) v(m) GROUP BY pitcher, game_date), "
+    "d AS (SELECT *, row_number() OVER (PARTITION BY pitcher ORDER BY game_date DESC) AS k FROM e), "
+    "own AS (SELECT pitcher_name, stddev_samp(residual) AS residual_std FROM r GROUP BY pitcher_name), "
+    "h AS (SELECT s.Name AS pitcher_name, k_line, k_pred_mean, sqrt(k_pred_std ** 2 + coalesce(residual_std, (SELECT stddev_samp(residual) FROM r)) ** 2) AS hybrid_std, "
+    f"{o.odds('over_american_price')} AS payout_over, {o.odds('under_american_price')} AS payout_under "
+    "FROM d JOIN s ON s.IDfg = d.pitcher JOIN l ON l.player = s.Name LEFT JOIN own ON own.pitcher_name = concat('P', d.pitcher) WHERE k = 1), "
+    f"p AS (SELECT *, {o.phi('(k_line - k_pred_mean) / hybrid_std')} AS p_under FROM h) "
+    "SELECT pitcher_name, k_line, round(k_pred_mean, 6) AS k_pred_mean, round(hybrid_std, 6) AS hybrid_std, round(1 - p_under, 6) AS p_over, round((1 - p_under) * payout_over - p_under, 6) AS ev_over, round(p_under * payout_under - (1 - p_under), 6) AS ev_under FROM p"
+)
+def price_pooled(spark: SparkSession, sf: str) -> DataFrame:
+    """Each pitcher's last game, its models' mean and spread, residuals pooled by pitcher, prices."""
+    x = games.counted_games(pitches(spark, sf)).withColumn("m", F.explode(F.sequence(F.lit(0), F.lit(4)))).withColumn("pred", F.expr(PSEUDO).cast("double"))
+    x = x.withColumn("row_id", F.struct("pitcher", "game_date"))
+    last = games.latest(pricing.ensemble(x).select("row_id.*", "k_pred_mean", "k_pred_std"), "pitcher", "game_date")
+    known = views.view(spark, sf, views.STARTERS).select(F.col("IDfg").alias("pitcher"), F.col("Name").alias("pitcher_name"))
+    past = residuals(spark, sf).join(known.select(F.concat(F.lit("P"), F.col("pitcher").cast("string")).alias("_p"), F.col("pitcher_name").alias("_name")), F.col("pitcher_name") == F.col("_p"), "left")
+    past = past.select(F.coalesce("_name", "pitcher_name").alias("pitcher_name"), "residual")
+    out = pricing.price(last.join(known, "pitcher"), views.view(spark, sf, views.LINES), past)
+    return out.select("pitcher_name", "k_line", *[F.round(c, 6).alias(c) for c in ("k_pred_mean", "hybrid_std", "p_over", "ev_over", "ev_under")])
+
+
 @query("SELECT l_orderkey AS row_id, round(avg(l_quantity), 6) AS k_pred_mean, round(greatest(stddev_pop(l_quantity), 0.75), 6) AS k_pred_std FROM lineitem GROUP BY l_orderkey")
 def ensemble_stats(spark: SparkSession, sf: str) -> DataFrame:
     x = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("row_id"), F.col("l_quantity").alias("pred"))
@@ -444,30 +476,59 @@ def time_series_folds(spark: SparkSession, sf: str) -> DataFrame:
     return models.positions(x, ["seq"]).select("seq", models.time_folds(F.col("_p"), n).alias("fold"))
 
 
-# Odds documents
+# Odds documents: one for each nation, of its suppliers; an appearance's id is its place there, so that
+# documents share ids
 
-def option(choice: str, name: str, american: str, decimal: str) -> str:
-    return f'{{"choice": "{choice}", "selection_header": "{name}", "american_price": "{american}", "decimal_price": "{decimal}", "payout_multiplier": "1.05"}}'
+SUPPLIERS = "SELECT *, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS place FROM supplier"
+LINE = (
+    "SELECT s_name AS player, CAST(3.5 + s_suppkey % 5 AS DOUBLE) AS k_line, CAST(-110 - s_suppkey % 40 AS INT) AS over_american_price, CAST(1.5 + 0.25 * (s_suppkey % 3) AS DOUBLE) AS over_decimal_price, CAST(1.25 AS DOUBLE) AS over_payout_multiplier, "
+    "CAST(100 + s_suppkey % 40 AS INT) AS under_american_price, CASE WHEN s_suppkey % 7 <> 0 THEN CAST(2.0 AS DOUBLE) END AS under_decimal_price, CAST(1.5 AS DOUBLE) AS under_payout_multiplier "
+    f"FROM ({SUPPLIERS}) s WHERE place % 3 = 1"
+)
 
 
-DOCUMENT = (
-    '{"appearances": [{"id": "a", "badges": [{"label": "Starting", "value": "Yes"}]}, {"id": "b", "badges": [{"label": "Starting", "value": "No"}]}, {"id": "c"}], "over_under_lines": ['
-    + ", ".join(
-        f'{{"stat_value": "{k}", "over_under": {{"appearance_stat": {{"appearance_id": "{i}"}}}}, "options": [{option("higher", name, "-120", "1.83")}, {option("lower", name, "+100", "2.0")}]}}'
-        for i, name, k in (("a", "Ana Arm", "5.5"), ("b", "Bo Bench", "4.5"), ("c", "Cy Change", "3.5"), ("d", "Di Day", "2.5"))
-    )
-    + "]}"
-)
-LINE = "SELECT 'Ana Arm' AS player, CAST(5.5 AS DOUBLE) AS k_line, CAST(-120 AS INT) AS over_american_price, CAST(1.83 AS DOUBLE) AS over_decimal_price, CAST(1.05 AS DOUBLE) AS over_payout_multiplier, CAST(100 AS INT) AS under_american_price, CAST(2.0 AS DOUBLE) AS under_decimal_price, CAST(1.05 AS DOUBLE) AS under_payout_multiplier"
+def odds_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """Written as files and read again. A third of the players are marked as starting, a third as not,
+    a third have no badges."""
+    by = Window.partitionBy("s_nationkey").orderBy("s_suppkey")
+    key, place = F.col("s_suppkey"), F.row_number().over(by)
+
+    def text(c) -> F.Column:
+        return c.cast("string")
 
+    def option(choice: str, american, decimal, multiplier: str):
+        return F.struct(F.lit(choice).alias("choice"), F.col("s_name").alias("selection_header"), american.alias("american_price"), text(decimal).alias("decimal_price"), F.lit(multiplier).alias("payout_multiplier"))
 
-def document(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(DOCUMENT,)], "value string").select(F.from_json("value", schemas.ODDS).alias("d")).select("d.*")
+    badge = F.array(F.struct(F.lit("Starting").alias("label"), F.when(F.col("place") % 3 == 1, "Yes").otherwise("No").alias("value")))
+    x = table(spark, sf, "supplier").withColumn("place", place).select(
+        "s_nationkey",
+        F.struct(text(F.col("place")).alias("id"), F.when(F.col("place") % 3 != 0, badge).alias("badges")).alias("a"),
+        F.struct(
+            text(3.5 + key % 5).alias("stat_value"),
+            F.struct(F.struct(text(F.col("place")).alias("appearance_id")).alias("appearance_stat")).alias("over_under"),
+            F.array(option("higher", F.concat(F.lit("-"), text(110 + key % 40)), 1.5 + 0.25 * (key % 3), "1.25"), option("lower", F.concat(F.lit("+"), text(100 + key % 40)), F.when(key % 7 != 0, F.lit(2.0)), "1.5")).alias("options"),
+        ).alias("l"),
+    )
+    documents = x.groupBy("s_nationkey").agg(F.to_json(F.struct(F.collect_list("a").alias("appearances"), F.collect_list("l").alias("over_under_lines"))).alias("value"))
+    path = scratch(spark)
+    documents.select("value").write.option("maxRecordsPerFile", 1).text(path)
+    return readers.read_odds(spark, path)
 
 
 @query(LINE)
 def json_lines(spark: SparkSession, sf: str) -> DataFrame:
-    return odds.strikeout_lines(document(spark))
+    return odds.strikeout_lines(odds_documents(spark, sf))
+
+
+@query(
+    "WITH o AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) AS k, count(*) OVER () AS n FROM orders) "
+    "SELECT o_orderkey, 'head' AS \"end\", CAST(k AS INT) AS at FROM o WHERE k <= 7 UNION ALL SELECT o_orderkey, 'tail', CAST(k - n + 7 AS INT) FROM o WHERE k > n - 7"
+)
+def head_and_tail(spark: SparkSession, sf: str) -> DataFrame:
+    """Of a table in many files, in the files' own order."""
+    path = scratch(spark)
+    table(spark, sf, "orders").repartitionByRange(12, "o_orderkey").sortWithinPartitions("o_orderkey").write.option("maxRecordsPerFile", 1000).parquet(path)
+    return readers.ends(spark.read.parquet(path), 7).select("o_orderkey", "end", "at")
 
 
 @query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events")
@@ -475,9 +536,12 @@ def json_props(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").select("event_id", F.from_json("props", "k int")["k"].alias("k"))
 
 
-@query(f"SELECT rpad(player, 20, ' ') || ' ' || lpad(CAST(k_line AS VARCHAR), 4, ' ') || '     ' || rpad('-120/1.83x1.05', 20, ' ') || ' ' || '100/2.0x1.05' AS line FROM ({LINE}) l")
+@query(
+    "SELECT rpad(player, 20, ' ') || ' ' || lpad(CAST(k_line AS VARCHAR), 4, ' ') || '     ' || rpad(over_american_price || '/' || CAST(over_decimal_price AS VARCHAR) || 'x1.25', 20, ' ') || ' ' "
+    f"|| under_american_price || '/' || coalesce(CAST(under_decimal_price AS VARCHAR), 'None') || 'x1.5' AS line FROM ({LINE}) l"
+)
 def format_lines(spark: SparkSession, sf: str) -> DataFrame:
-    return sinks.format_lines(odds.strikeout_lines(document(spark)))
+    return sinks.format_lines(odds.strikeout_lines(odds_documents(spark, sf)))
 
 
 # Random and fitted: rows only
@@ -511,3 +575,28 @@ def poisson_glm_fit(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def gbt_fit(spark: SparkSession, sf: str) -> DataFrame:
     return trained(spark, sf, lambda _: models.boosted())
+
+
+def named_games(spark: SparkSession, sf: str) -> DataFrame:
+    ids = features.pitcher_ids(views.view(spark, sf, views.STARTERS), views.view(spark, sf, views.XREF))
+    return sinks.staged(features.enriched_games(pitches(spark, sf), ids, compat=False), "games")
+
+
+@query()
+def poisson_boost_fit(spark: SparkSession, sf: str) -> DataFrame:
+    x = sinks.staged(features.enriched_games(pitches(spark, sf), compat=False), "games")
+    out = boosting.fit(x, ["pitcher", "game_date"]).transform(x)
+    return out.select("pitcher", "game_date", "strikeouts", F.col("predictions")[0].alias("prediction"))
+
+
+@query()
+def ensemble_slips(spark: SparkSession, sf: str) -> DataFrame:
+    """The whole way: a hundred boosted models on resamples of the games before a date, their spread and
+    each pitcher's residuals on later games, prices of today's lines, simulated plays, slips."""
+    x = named_games(spark, sf)
+    scored = sinks.staged(boosting.ensemble(x.where(f"game_date < {CUT}"), x.where(f"game_date >= {CUT}"), ["pitcher_id", "game_date"]), "scored")
+    past = scored.select("pitcher_name", (F.col("strikeouts") - F.col("k_pred_mean")).alias("residual"))
+    today = games.latest(scored, "pitcher_name", "game_date", "pitcher_id").select("pitcher_name", "k_pred_mean", "k_pred_std")
+    x = pricing.simulate(pricing.price(today, views.view(spark, sf, views.LINES), past))
+    legs = sinks.staged(slips.top_legs(pricing.plays(pricing.evs(x, "mc_p_over", "mc_p_under", "mc_ev_over", "mc_ev_under"))), "legs")
+    return rounded(slips.diverse(slips.slips(legs)))

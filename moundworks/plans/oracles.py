@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from moundworks.functions.semantics import ERF
+from moundworks.functions.semantics import ERF, FRACTION, NEAR, SERIES
 from moundworks.plans import views
 from moundworks.schemas import NICKNAMES, SLIP_PAYOUTS, TEAM_ALIASES
 
@@ -88,6 +88,18 @@ def phi(z: str) -> str:
     return f"(CASE WHEN {z} >= 0 THEN 1.0 - 0.5 * {poly} * exp(-{x} * {x}) ELSE 0.5 * {poly} * exp(-{x} * {x}) END)"
 
 
+def exact_phi(z: str) -> str:
+    x = f"(abs({z}) / sqrt(2.0::DOUBLE))"
+    series, fraction = "1.0::DOUBLE", x
+    for k in range(SERIES, 0, -1):
+        series = f"(1.0::DOUBLE + {series} * {x} * {x} * (2.0::DOUBLE / {2 * k + 1}))"
+    for k in range(FRACTION, 0, -1):
+        fraction = f"({x} + ({k}::DOUBLE / 2) / {fraction})"
+    near, far = f"(0.5 - {x} * exp(-{x} * {x}) * {series} / sqrt(pi()))", f"(exp(-{x} * {x}) / {fraction} / (2 * sqrt(pi())))"
+    half = f"(CASE WHEN {x} < {NEAR} THEN {near} ELSE {far} END)"
+    return f"(CASE WHEN {z} >= 0 THEN 1.0::DOUBLE - {half} ELSE {half} END)"
+
+
 def odds(c: str) -> str:
     return f"(CASE WHEN {c} > 0 THEN {c} / 100.0 + 1 WHEN {c} < 0 THEN 100.0 / abs({c}) + 1 END)"
 

@@ -6,7 +6,7 @@ import json
 import urllib.request
 from itertools import chain
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from moundworks import schemas
@@ -58,7 +58,25 @@ def landed_park_factors(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_odds(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(schemas.ODDS).json(path, multiLine=True)
+    """A row per document of the JSON files under ``path`` (one document, or a list of them, in each),
+    with its ``file``. What can't be parsed is a row with its text under ``corrupt``."""
+    x = spark.read.schema(f"{schemas.ODDS}, corrupt string").json(path, multiLine=True, columnNameOfCorruptRecord="corrupt", encoding="UTF-8")
+    return x.select("*", F.col("_metadata.file_path").alias("file"))
+
+
+def ends(df: DataFrame, n: int) -> DataFrame:
+    """The first and the last ``n`` rows in the files' own order (files by name), with ``end`` (head or
+    tail) and ``at`` from 1. Only so many rows of each task leave it; a small table's rows may be both."""
+    place = [F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row")]
+    x = df.select("*", *place)
+
+    def some(end: str, way) -> DataFrame:
+        order = [way("_file"), way("_row")]
+        best = x.orderBy(*order).limit(n)
+        turn = F.row_number().over(Window.orderBy(F.asc("_file"), F.asc("_row")))  # of n rows
+        return best.select(*df.columns, F.lit(end).alias("end"), turn.alias("at"))
+
+    return some("head", F.asc).unionByName(some("tail", F.desc))
 
 
 def fetch_json(url: str, params: dict[str, str], timeout: float = 30.0) -> dict:

@@ -364,3 +364,28 @@ def test_bootstrap_and_comparison(spark):
     c = models.comparison(df, df, {"ols": models.ols(), "ridge": models.ridge(df)}, ["t"], features=["a"]).collect()
     assert [r.model for r in c] == ["ols", "ridge"]
     assert all(r.Test_RMSE == pytest.approx(r.Test_MSE**0.5) and r.CV_Std >= 0 for r in c)
+
+
+def test_exact_distribution_keeps_its_digits(spark):
+    """Against the C library over eight deviations, tails by their own size."""
+    z = [i / 16 for i in range(-128, 129)]
+    got = [r[0] for r in spark.createDataFrame([(x,) for x in z], "z double").select(exact_normal_cdf(F.col("z"))).collect()]
+    want = [0.5 * math.erfc(-x / 2**0.5) for x in z]
+    assert max(abs(a - b) for a, b in zip(got, want, strict=True)) < 2e-15
+    assert max(abs(a / b - 1) for a, b in zip(got, want, strict=True)) < 1e-14
+
+
+def test_documents_are_kept_apart_and_corrupt_ones_told(spark, tmp_path):
+    import json
+
+    from moundworks.sources import readers
+
+    one_doc = {"appearances": STARTS, "over_under_lines": [line("a"), line("b")]}
+    other = {"appearances": [{"id": "b", "badges": [{"label": "Starting", "value": "Yes"}]}], "over_under_lines": [line("a", k="1.5"), line("b", k="2.5")]}
+    (tmp_path / "one.json").write_text(json.dumps(one_doc, indent=1))
+    (tmp_path / "two.json").write_text(json.dumps([other, {"over_under_lines": None}]))
+    (tmp_path / "three.json").write_text('{"appearances": [')
+    x = readers.read_odds(spark, f"file://{tmp_path}")
+    assert sorted(r.k_line for r in odds.strikeout_lines(x).collect()) == [2.5, 4.5]
+    assert [r.file.rsplit("/", 1)[1] for r in x.where("corrupt IS NOT NULL").collect()] == ["three.json"]
+    assert x.count() == 4
