@@ -92,7 +92,7 @@ def exact_normal_cdf(z: Column) -> Column:
 
 
 #: Terms of the series up to ``NEAR`` and of the fraction from there on leave less than a double shows.
-NEAR, SERIES, FRACTION = 2.0, 36, 50
+NEAR, SERIES, FRACTION = 1.5, 30, 80
 
 
 def soften(p: Column | str, factor: float = 0.85) -> Column:

@@ -24,14 +24,14 @@ def team_days(pitches: DataFrame, start: str | None = None, end: str | None = No
     return x.groupBy(*keys, "game_date", "Team").agg(F.count_if(F.col("events") == STRIKEOUT).alias("so"), F.count("events").alias("pa"))
 
 
-def opponent_k(pitches: DataFrame, start: str | None = None, end: str | None = None, default: float = 0.055, compat: bool = True, keys: tuple[str, ...] = ()) -> DataFrame:
-    """Each team's strikeout rate over its dates before this one.
+def opponent_k(pitches: DataFrame, start: str | None = None, end: str | None = None, default: float = 0.055, compat: bool = True, keys: tuple[str, ...] = (), days: DataFrame | None = None) -> DataFrame:
+    """Each team's strikeout rate over its dates before this one. ``days``: team-days made before.
 
     In the compatible form a team's first date carries the whole total of the team before it in
     alphabetical order, as the shift over the sorted table did; the strict form starts from nothing.
     The table of totals has a row a team.
     """
-    days = team_days(pitches, start, end, keys)
+    days = team_days(pitches, start, end, keys) if days is None else days
     before = Window.partitionBy(*keys, "Team").orderBy("game_date").rowsBetween(Window.unboundedPreceding, -1)
     days = days.withColumns({c: F.sum(n).over(before) for c, n in (("cum_so", "so"), ("cum_pa", "pa"))})
     if compat:
@@ -45,14 +45,19 @@ def opponent_k(pitches: DataFrame, start: str | None = None, end: str | None = N
     return days.select(*keys, "game_date", "Team", rate.alias("K_pct_so_far"))
 
 
-def park_factors(pitches: DataFrame, start: str | None = None, end: str | None = None, compat: bool = True, keys: tuple[str, ...] = ()) -> DataFrame:
-    """A park's strikeouts per pitch with a batter over the league's, which counts rows without a park
-    too. The compatible form groups before team codes are made canonical, so two codes of a team stay
-    two rows."""
+def park_counts(pitches: DataFrame, start: str | None = None, end: str | None = None, compat: bool = True, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Strikeouts ``k`` and pitches with a batter ``n`` of each park, the null one too."""
     x = between(pitches, start, end).where(F.col("pitch_type").isNotNull()).select(*keys, "home_team", "events", "batter")
     if not compat:
         x = canonical_teams(x, "home_team")
-    parks = x.groupBy(*keys, "home_team").agg(F.count_if(F.col("events") == STRIKEOUT).alias("k"), F.count("batter").alias("n"))
+    return x.groupBy(*keys, "home_team").agg(F.count_if(F.col("events") == STRIKEOUT).alias("k"), F.count("batter").alias("n"))
+
+
+def park_factors(pitches: DataFrame, start: str | None = None, end: str | None = None, compat: bool = True, keys: tuple[str, ...] = (), counts: DataFrame | None = None) -> DataFrame:
+    """A park's strikeouts per pitch with a batter over the league's, which counts rows without a park
+    too. The compatible form groups before team codes are made canonical, so two codes of a team stay
+    two rows. ``counts``: park counts made before."""
+    parks = park_counts(pitches, start, end, compat, keys) if counts is None else counts
     every = Window.partitionBy(*keys)  # a row a park
     parks = parks.withColumn("league", safe_div(F.sum("k").over(every), F.sum("n").over(every)))
     parks = drop_null_keys(parks, *keys, "home_team").select(*keys, F.col("home_team").alias("Team_abbr"), safe_div(safe_div("k", "n"), "league").alias("K_park_factor"))

@@ -24,9 +24,10 @@ def with_form(games: DataFrame, by: tuple[str, ...] = ("pitcher",), default_k: f
     })
 
 
-def enriched_games(pitches: DataFrame, pitchers: DataFrame | None = None, by: tuple[str, ...] = ("pitcher",), compat: bool = True, context: DataFrame | None = None) -> DataFrame:
+def enriched_games(pitches: DataFrame, pitchers: DataFrame | None = None, by: tuple[str, ...] = ("pitcher",), compat: bool = True, context: DataFrame | None = None, days: DataFrame | None = None, parks: DataFrame | None = None) -> DataFrame:
     """The feature table. ``pitchers`` has (pitcher_name, pitcher_id) and picks whose games are made;
-    rates of opponents and parks are of all of ``context`` (default: all pitches). With ``by`` of
+    rates of opponents and parks are of all of ``context`` (default: all pitches), but of
+    ``days`` and ``parks`` where team-days and park counts were made before. With ``by`` of
     (season, pitcher) many seasons are made at once, each on its own."""
     context = pitches if context is None else context
     own = pitches
@@ -34,8 +35,8 @@ def enriched_games(pitches: DataFrame, pitchers: DataFrame | None = None, by: tu
         own = pitches.join(pitchers.select(F.col("pitcher_id").alias("pitcher")).distinct(), "pitcher", "left_semi")
     games = pitcher_games(own, by)
     keys = tuple(k for k in by if k != "pitcher")
-    games = with_opponent(games, opponent_k(context, compat=compat, keys=keys), keys)
-    games = with_park(games, park_factors(context, compat=compat, keys=keys), keys)
+    games = with_opponent(games, opponent_k(context, compat=compat, keys=keys, days=days), keys)
+    games = with_park(games, park_factors(context, compat=compat, keys=keys, counts=parks), keys)
     games = with_form(games, by)
     if pitchers is None:
         return games

@@ -12,7 +12,7 @@ from moundworks.functions.semantics import batting_team, decimal_odds, fielding_
 from moundworks.operators import boosting, context, features, games, models, odds, pricing, slips
 from moundworks.plans import oracles as o
 from moundworks.plans import views
-from moundworks.sources import readers, sinks
+from moundworks.sources import readers, sinks, versions
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -282,6 +282,24 @@ def incremental_compat(spark: SparkSession, sf: str) -> DataFrame:
     return features.incremental(p, features.enriched_games(p.where(f"game_date <= {CUT}")), "2024-01-28")
 
 
+@query(
+    f"{o.P}, s AS (SELECT *, CAST(day(game_date) % 3 AS INT) AS season FROM pitches), a AS (SELECT season, pitcher, game_date, count(*) AS n, count(*) FILTER (WHERE events = 'strikeout') AS k, min(seq) AS first FROM s "
+    f"WHERE game_date <= {CUT} GROUP BY ALL), b AS (SELECT season, pitcher, game_date, count(*) AS n, count(*) FILTER (WHERE events = 'strikeout') AS k, max(seq) AS first FROM s WHERE game_date >= {CUT} AND season = 1 AND pitcher % 3 = 0 GROUP BY ALL) "
+    "SELECT * FROM b UNION ALL SELECT * FROM a WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.pitcher = a.pitcher AND b.game_date = a.game_date)"
+)
+def part_upsert(spark: SparkSession, sf: str) -> DataFrame:
+    """A table in parts, of which an increment replaces some."""
+    p = pitches(spark, sf).withColumn("season", F.day("game_date") % 3)
+
+    def counted(x: DataFrame, seq) -> DataFrame:
+        return x.groupBy("season", "pitcher", "game_date").agg(F.count("*").alias("n"), F.count_if(F.col("events") == schemas.STRIKEOUT).alias("k"), seq("seq").alias("first"))
+
+    t = versions.PartTable(spark, scratch(spark), "season int, pitcher long, game_date date, n long, k long, first long", buckets=8)
+    t.upsert(counted(p.where(f"game_date <= {CUT}"), F.min), ["season", "pitcher", "game_date"])
+    t.upsert(counted(p.where(f"game_date >= {CUT} AND season = 1 AND pitcher % 3 = 0"), F.max), ["season", "pitcher", "game_date"])
+    return t.read()
+
+
 # Sorts
 
 @query(f"SELECT * FROM ({views.STARTERS}) s WHERE IP >= 15 AND GS > 0 ORDER BY WAR DESC NULLS LAST, IDfg LIMIT 999")
