@@ -33,9 +33,10 @@ def constants(values: list | np.ndarray, kind: str) -> Column:
     return (F.split(F.lit(text), ",") if text else F.array()).cast(f"array<{kind}>")
 
 
-def held(spark: SparkSession, values: np.ndarray) -> Column:
-    """The same as a scalar subquery, so that a plan's description has it once, not for each use."""
-    return spark.range(1).select(constants(values, "double")).scalar()
+def held(spark: SparkSession) -> DataFrame:
+    """The tables of quantiles as one row of a written table, to be broadcast: as literals they would
+    stand in every plan's description for each of their uses."""
+    return shared.staged(spark.range(1).select(*[constants(t, "double").alias(c) for c, t in zip(("r_table", "c_table"), tables(), strict=True)]), "quantiles")
 
 
 def ranges(docs: DataFrame, order: Column, n: int) -> tuple[Column, DataFrame]:
@@ -151,8 +152,8 @@ def fingerprints(docs: DataFrame, samples: int = 64) -> DataFrame:
     entries = F.when(F.col("own") == F.col("other"), F.array(entry[0])).when(F.col("other") == 0, F.array(entry[1])).when(F.col("own") == 0, F.array(entry[2])).otherwise(F.array(entry[1], entry[2]))
     # samples go by turns of TURN: more values in one aggregation are too much code for the compiler
     weighted = weighted.select("range", "rn", "term", F.inline(entries)).select("range", "rn", "term", "whose", "w", F.explode(F.array(*map(F.lit, range(0, samples, TURN)))).alias("turn"))
-    r_table, c_table = [held(docs.sparkSession, t) for t in tables()]
-    one_by_one = [F.min(value(F.xxhash64("term", F.col("turn") + k), "w", r_table, c_table)).alias(f"v{k}") for k in range(TURN)]
+    weighted = weighted.crossJoin(F.broadcast(held(docs.sparkSession)))  # one row
+    one_by_one = [F.min(value(F.xxhash64("term", F.col("turn") + k), "w", F.col("r_table"), F.col("c_table"))).alias(f"v{k}") for k in range(TURN)]
     least = weighted.groupBy("range", "rn", "whose", "turn").agg(*one_by_one)
     least = least.groupBy("range", "rn", "turn").agg(*[F.min(F.when(F.col("whose") != not_of, F.col(f"v{k}"))).alias(f"{c}{k}") for c, not_of in (("own", 2), ("other", 1)) for k in range(TURN)])
 
