@@ -12,7 +12,7 @@ from moundworks.functions.semantics import batting_team, decimal_odds, fielding_
 from moundworks.operators import boosting, context, features, games, models, odds, pricing, slips
 from moundworks.plans import oracles as o
 from moundworks.plans import views
-from moundworks.sources import readers, sinks, versions
+from moundworks.sources import landed, readers, sinks, versions
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -70,6 +70,17 @@ def parquet_swap(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+@query(f"{o.P} SELECT pitcher, seq, game_date, description FROM pitches WHERE game_date BETWEEN DATE '2024-01-10' AND DATE '2024-01-14'")
+def landed_range(spark: SparkSession, sf: str) -> DataFrame:
+    """A range of days from landed files, a partition a day; other days are not opened."""
+    path = scratch(spark)
+    pitches(spark, sf).repartition("game_date").write.partitionBy("game_date").parquet(path)
+    spark.dataSource.register(landed.LandedPitches)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    x = spark.read.format("landed_pitches").schema("pitcher long, seq long, game_date date, description string").load(path)
+    return x.where("game_date BETWEEN DATE '2024-01-10' AND DATE '2024-01-14'")
+
+
 @query("SELECT n_nationkey, n_name, n_regionkey FROM nation")
 def csv_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch(spark)
@@ -607,6 +618,29 @@ def poisson_boost_fit(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("pitcher", "game_date", "strikeouts", F.col("predictions")[0].alias("prediction"))
 
 
+@query()
+def forest_fit(spark: SparkSession, sf: str) -> DataFrame:
+    return trained(spark, sf, lambda _: models.forest())
+
+
+@query()
+def tuned_comparison(spark: SparkSession, sf: str) -> DataFrame:
+    """Linear models cross-validated and tested on later games, a grid of boosted models on the same
+    folds, and its best point as one more row of the written table."""
+    x = sinks.staged(features.enriched_games(pitches(spark, sf), compat=False), "games")
+    train, test = x.where(f"game_date < {CUT}"), x.where(f"game_date >= {CUT}")
+    order, path = ["game_date", "pitcher"], scratch(spark)
+    sinks.merge_parquet(models.comparison(train, test, {"Linear": models.ols(), "Ridge": models.ridge(train)}, order), path, "model")
+    grid = sinks.staged(boosting.search(models.folded(train, order), ["pitcher", "game_date"], "_fold", trees=(10, 20, 30)), "grid")
+    best = grid.where("place = 1").first()
+    scored = boosting.fit(train, ["pitcher", "game_date"], trees=best["trees"], depth=best["depth"], rate=best["rate"]).transform(test)
+    e = models.errors(scored.withColumn("prediction", F.col("predictions")[0])).first()
+    row = (f"Boosted {best['trees']} x {best['depth']} x {best['rate']}", best["CV_MAE"], best["CV_Std"], e["mae"], e["mse"], e["rmse"])
+    sinks.merge_parquet(spark.createDataFrame([row], spark.read.parquet(path).schema), path, "model")
+    points = grid.select(F.format_string("grid %d x %d x %s", "trees", "depth", F.col("rate").cast("string")).alias("model"), "CV_MAE", "CV_Std")
+    return spark.read.parquet(path).unionByName(points, allowMissingColumns=True)
+
+
 @query()
 def ensemble_slips(spark: SparkSession, sf: str) -> DataFrame:
     """The whole way: a hundred boosted models on resamples of the games before a date, their spread and

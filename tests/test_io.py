@@ -84,3 +84,36 @@ def test_stream_keeps_the_table_whole(spark, tmp_path):
     want = features.enriched_games(whole, compat=False)
     keys = ["pitcher", "game_date", "pitch_count", "strikeouts", "rolling_K_avg_3", "whiff_rate_expanding"]
     assert sorted(spark.read.parquet(table).select(keys).collect()) == sorted(want.select(keys).collect())
+
+
+def test_a_range_of_days_opens_only_its_files(spark, tmp_path):
+    from moundworks.sources.landed import LandedPitches, LandedReader
+
+    d0 = dt.date(2023, 12, 30)
+    rows = [(i % 3, d0 + dt.timedelta(i % 6), i, 9, "foul", None, 1, "Top", "FF", "AZ", "NYY", None) for i in range(60)] + [(1, None, 60, 9, None, None, 1, "Top", None, None, None, None)]
+    path = f"file://{tmp_path}/landed"
+    spark.createDataFrame(rows, schemas.PITCHES).write.partitionBy("game_date").parquet(path)
+    spark.dataSource.register(LandedPitches)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    x = spark.read.format("landed_pitches").load(path)
+    assert x.count() == 60 and x.columns[-1] == "season"
+    some = spark.read.format("landed_pitches").schema("seq long, game_date date, season int").load(path)
+    some = some.where("game_date >= DATE '2024-01-01' AND game_date < DATE '2024-01-03' AND season = 2024 AND seq > 5")
+    assert sorted(r.seq for r in some.collect()) == [i for i in range(6, 60) if i % 6 in (2, 3)]
+    assert some.rdd.getNumPartitions() == 2
+    reader = LandedReader(path, x.schema)
+    from pyspark.sql.datasource import EqualTo, In, LessThan
+
+    assert list(reader.pushFilters([EqualTo(("season",), 2023), LessThan(("seq",), 9)])) == [LessThan(("seq",), 9)]
+    assert [p.day for p in reader.partitions()] == ["2023-12-30", "2023-12-31"]
+    list(reader.pushFilters([In(("game_date",), (d0,))]))
+    assert [p.day for p in reader.partitions()] == ["2023-12-30"]
+
+
+def test_a_tuned_row_is_there_once(spark, tmp_path):
+    path = f"file://{tmp_path}/metrics"
+    make = lambda *r: spark.createDataFrame(list(r), "model string, CV_MAE double")
+    sinks.merge_parquet(make(("Linear", 1.0), ("Ridge", 1.1)), path, "model")
+    for mae in (0.9, 0.8):
+        sinks.merge_parquet(make(("Tuned", mae)).withColumn("trees", F.lit(30)), path, "model")
+    assert sorted((r.model, r.CV_MAE, r.trees) for r in spark.read.parquet(path).collect()) == [("Linear", 1.0, None), ("Ridge", 1.1, None), ("Tuned", 0.8, 30)]
