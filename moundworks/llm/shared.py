@@ -17,14 +17,16 @@ from pyspark.sql import functions as F
 
 def shared_dir(spark: SparkSession) -> str:
     """Folder that the driver and all executors see: ``spark.checkpoint.dir`` where the cluster
-    names one, else the context's own checkpoint folder; only where neither is set (tests on one
-    machine) a temporary folder is made and set."""
+    names one, else the context's own checkpoint folder; only where neither is set and the master is
+    local (tests on one machine) a temporary folder is made and set, elsewhere that is an error."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         now = sc._jsc.sc().getCheckpointDir()
         named = now.get() if now.isDefined() else None
     if not named:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="moundworks-")
         sc.setCheckpointDir(named)
     return named.rstrip("/")

@@ -365,3 +365,42 @@ def test_language_is_trained_on_a_bound_of_distinct_rows(spark):
         weights = [1 / np.exp(x.min()) * 0.5 - 0.5 * (1 << langid.BITS) for x in table]
         assert sum(weights) <= n * most / 50 * 1.2 + 1
     assert langid.train(docs.limit(0))[0] == []
+
+
+def test_toxicity_settings_are_chosen_without_held_out_rows(spark, docs):
+    """Texts and labels of the held-out third don't change what cross-validation says."""
+    import zlib
+
+    r = random.Random(2)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(5))
+    texts = {i: " ".join([word() for _ in range(20)] + ["vileword"] * (i % 3 == 0)) for i in range(240)}
+    out = {i for i in texts if zlib.crc32(str(i).encode()) % 3 == 1}
+    settings = [{"kept": 200, "penalty": 1.0}, {"kept": 50, "penalty": 30.0}]
+
+    def run(other):
+        rows = [(i, other if i in out and other else t) for i, t in texts.items()]
+        labels = spark.createDataFrame([(i, int(i % 3 == 0) if i not in out or not other else 1) for i in texts], "doc_id long, toxic int")
+        return toxicity.cross_validated(docs(rows), labels, settings, folds=2)
+
+    plain = run(None)
+    assert [x["kept"] for x in plain] == [200, 50] and plain[0]["recall"] > 0.9 and plain[0]["loss"] < plain[1]["loss"]
+    for a, b in zip(plain, run("nothing to see"), strict=True):
+        assert a == pytest.approx(b)
+
+
+def test_a_score_follows_from_slots_and_weights():
+    """Again from n-grams hashed one by one with plain integers."""
+    bits, text = 12, "Aé b\tvile  words"
+    model = toxicity.Model(bits, np.random.default_rng(0).normal(size=1 << bits).astype(np.float32), -0.3)
+    cs = [32, *[32 if ord(x) < 33 else ord(x) for x in text.lower()], 32]
+    mask, found = (1 << 32) - 1, set()
+    for a in range(len(cs)):
+        h = cs[a] * 0x9E3779B1 & mask
+        for n in range(2, max(toxicity.ORDERS) + 1):
+            if a + n > len(cs):
+                break
+            h = (h ^ (h >> 15)) * 0x85EBCA6B + cs[a + n - 1] & mask
+            if n in toxicity.ORDERS:
+                found.add((h * 0xC2B2AE35 & mask) >> (32 - bits))
+    z = sum(float(model.weight[s]) for s in found) - 0.3
+    assert toxicity.scores([text], model)[0] == pytest.approx(1 / (1 + math.exp(-z)), rel=1e-6)
