@@ -51,8 +51,9 @@ def with_legs(chosen: DataFrame, legs: DataFrame) -> DataFrame:
 
 
 def by_value(s: DataFrame) -> list[Column]:
-    """Best total value first; equal ones as they were made: by size, then by positions."""
-    return [-F.col("total_ev"), F.col("slip_size"), F.col("ordinal")]
+    """Best total value first; equal ones (to 12 places, as a product's last digits follow the order of
+    its factors) as they were made: by size, then by positions."""
+    return [-F.round("total_ev", 12), F.col("slip_size"), F.col("ordinal")]
 
 
 def as_made(s: DataFrame) -> list[Column]:

@@ -386,7 +386,7 @@ def slips_query(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(all_slips(spark, sf))
 
 
-@query()
+@query(f"{o.diverse()} {SLIP_SQL} FROM s WHERE mask IN (SELECT mask FROM kept)")
 def slips_diverse(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(slips.diverse(all_slips(spark, sf)))
 
@@ -407,6 +407,12 @@ def bankroll_conservative(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(slips.conservative(slips.diverse(s, slips.as_made(s)))).withColumn("units", F.lit(1))
 
 
+@query(f"{o.full_send()} SELECT mask, CAST(slip_size AS INT) AS slip_size, CAST(payout AS INT) AS payout, CAST(units AS INT) AS units, round(total_ev, 9) AS total_ev FROM u WHERE mask IN (SELECT mask FROM taken)")
+def bankroll_units(spark: SparkSession, sf: str) -> DataFrame:
+    x = slips.full_send(slips.diverse(all_slips(spark, sf)))
+    return x.select("mask", F.col("slip_size").cast("int").alias("slip_size"), F.col("payout").cast("int").alias("payout"), "units", F.round("total_ev", 9).alias("total_ev"))
+
+
 @query()
 def bankroll_fullsend(spark: SparkSession, sf: str) -> DataFrame:
     x = slips.full_send(slips.diverse(all_slips(spark, sf)))

@@ -127,6 +127,24 @@ def slips(lo: int = 2, hi: int = 8, n: int = 12) -> str:
  WHERE names = slip_size AND slip_size = bit_count(mask)) t WHERE payout <> 0 AND p_win <> 0"""
 
 
+def diverse(most_shared: int = 3) -> str:
+    """CTEs: ``s`` with places by value, ``kept`` with the masks that a walk through them keeps."""
+    return f"""WITH RECURSIVE s AS (SELECT *, row_number() OVER (ORDER BY round(total_ev, 12) DESC, slip_size, ordinal) AS i FROM ({slips()}) x),
+ walk(i, masks) AS (SELECT CAST(0 AS BIGINT), CAST([] AS BIGINT[]) UNION ALL
+ SELECT s.i, CASE WHEN len(list_filter(masks, lambda k: bit_count(k & s.mask) > {most_shared})) > 0 THEN masks ELSE list_append(masks, s.mask) END FROM walk JOIN s ON s.i = walk.i + 1),
+ kept AS (SELECT unnest(masks) AS mask FROM (SELECT masks FROM walk ORDER BY i DESC LIMIT 1) m)"""
+
+
+def full_send(bankroll: float = 143, share: float = 0.05) -> str:
+    """More CTEs: kept slips by value with their units, and those that the day's share still has room for."""
+    cap = bankroll * share
+    return f"""{diverse()}, u AS (SELECT s.*, row_number() OVER (ORDER BY s.i) AS j, CASE WHEN total_ev > 1.5 AND p_win > 0.5 THEN {min(int(cap), 5)} WHEN total_ev > 1.0 AND p_win > 0.4 THEN 2 ELSE 1 END AS units
+ FROM s JOIN kept ON kept.mask = s.mask),
+ spend(j, spent, masks) AS (SELECT CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST([] AS BIGINT[]) UNION ALL
+ SELECT u.j, CASE WHEN spent < {cap} AND spent + units <= {cap} THEN spent + units ELSE spent END, CASE WHEN spent < {cap} AND spent + units <= {cap} THEN list_append(masks, u.mask) ELSE masks END
+ FROM spend JOIN u ON u.j = spend.j + 1), taken AS (SELECT unnest(masks) AS mask FROM (SELECT masks FROM spend ORDER BY j DESC LIMIT 1) m)"""
+
+
 def nickname(c: str) -> str:
     return f"CASE {c} " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in NICKNAMES.items()) + " END"
 

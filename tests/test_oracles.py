@@ -2,14 +2,17 @@
 
 import datetime
 import decimal
+import functools
 import math
 from pathlib import Path
 
 import duckdb
 import pytest
 
+from moundworks.operators import boosting
 from moundworks.plans import catalog
 
+SEARCH = boosting.search
 SF = Path("/root/testdata/sf0.01")
 pytestmark = pytest.mark.skipif(not SF.exists(), reason="no test tables")
 
@@ -46,5 +49,8 @@ def test_oracle(spark, db, name):
 
 
 @pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLES)))
-def test_rows(spark, name):
+def test_rows(spark, name, monkeypatch):
+    # minutes of trees as registered; here fewer of them (test_boosting.py has them against plain loops)
+    monkeypatch.setattr(boosting, "fit", functools.partial(boosting.fit, trees=2))
+    monkeypatch.setattr(boosting, "search", lambda *a, trees, **k: SEARCH(*a, trees=(1, 2), depths=(1, 2), **k))
     assert catalog.QUERIES[name](spark, str(SF)).count() > 0
