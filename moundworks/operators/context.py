@@ -29,16 +29,17 @@ def opponent_k(pitches: DataFrame, start: str | None = None, end: str | None = N
 
     In the compatible form a team's first date carries the whole total of the team before it in
     alphabetical order, as the shift over the sorted table did; the strict form starts from nothing.
-    The table of totals has a row a team.
+    That goes through a season's team-days in one task: a row for each team and date, whatever the
+    pitches are.
     """
     days = team_days(pitches, start, end, keys) if days is None else days
-    before = Window.partitionBy(*keys, "Team").orderBy("game_date").rowsBetween(Window.unboundedPreceding, -1)
-    days = days.withColumns({c: F.sum(n).over(before) for c, n in (("cum_so", "so"), ("cum_pa", "pa"))})
-    if compat:
-        by_name = Window.partitionBy(*keys).orderBy("Team")
-        totals = days.groupBy(*keys, "Team").agg(F.sum("so").alias("so"), F.sum("pa").alias("pa"))
-        carried = totals.select(*keys, "Team", F.lag("so").over(by_name).alias("carry_so"), F.lag("pa").over(by_name).alias("carry_pa"))
-        days = days.join(carried, [*keys, "Team"])
+    own = Window.partitionBy(*keys, "Team").orderBy("game_date")
+    upto = own.rowsBetween(Window.unboundedPreceding, 0)
+    days = days.withColumns({c: F.sum(n).over(upto) for c, n in (("all_so", "so"), ("all_pa", "pa"))})
+    days = days.withColumns({c: F.lag(n).over(own) for c, n in (("cum_so", "all_so"), ("cum_pa", "all_pa"))})
+    if compat:  # before a team's first date stands the last one of the team before it, whose sums are its totals
+        by_name = Window.partitionBy(*keys).orderBy("Team", "game_date")
+        days = days.withColumns({c: F.lag(n).over(by_name) for c, n in (("carry_so", "all_so"), ("carry_pa", "all_pa"))})
     else:
         days = days.withColumns({"carry_so": F.lit(0), "carry_pa": F.lit(0)})
     rate = safe_div(F.coalesce("cum_so", "carry_so", F.lit(0)), F.coalesce("cum_pa", "carry_pa", F.lit(0)), default)

@@ -279,7 +279,7 @@ CUT = "DATE '2024-01-20'"
 )
 def incremental_delta(spark: SparkSession, sf: str) -> DataFrame:
     p = pitches(spark, sf)
-    done = features.enriched_games(p.where(f"game_date <= {CUT}"), compat=False)
+    done = sinks.staged(features.enriched_games(p.where(f"game_date <= {CUT}"), compat=False), "done")  # as an update finds it: written
     return features.incremental(p, done, "2024-01-28", compat=False)
 
 
@@ -290,7 +290,8 @@ def incremental_delta(spark: SparkSession, sf: str) -> DataFrame:
 )
 def incremental_compat(spark: SparkSession, sf: str) -> DataFrame:
     p = pitches(spark, sf)
-    return features.incremental(p, features.enriched_games(p.where(f"game_date <= {CUT}")), "2024-01-28")
+    done = sinks.staged(features.enriched_games(p.where(f"game_date <= {CUT}")), "done")
+    return features.incremental(p, done, "2024-01-28")
 
 
 @query(
