@@ -88,6 +88,15 @@ def csv_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     return readers.read_csv(spark, path, "n_nationkey int, n_name string, n_regionkey int")
 
 
+@query("SELECT row_number() OVER (ORDER BY s_acctbal, s_suppkey) - 1 AS at, s_suppkey, s_name FROM supplier")
+def csv_index(spark: SparkSession, sf: str) -> DataFrame:
+    """A table with each row's place in it as a column, in files and back."""
+    path = scratch(spark)
+    x = models.positions(table(spark, sf, "supplier").select("s_suppkey", "s_name", "s_acctbal"), ["s_acctbal", "s_suppkey"])
+    sinks.write_csv(x.select(F.col("_p").alias("at"), "s_suppkey", "s_name"), path)
+    return readers.read_csv(spark, path, "at long, s_suppkey long, s_name string")
+
+
 # Projections
 
 @query("SELECT l_orderkey AS order_key, l_linenumber AS line, l_quantity AS quantity, l_extendedprice * (1 - l_discount) AS revenue, 'lineitem' AS origin FROM lineitem")
@@ -402,6 +411,18 @@ def slips_of_plays(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(slips.slips(priced_legs(spark, sf)))
 
 
+@query(
+    f"SELECT s.mask, CAST(any_value(slip_size) AS INT) AS slip_size, CAST(count(*) AS INT) AS n_legs, arg_min(pitcher_name, pos) AS first_pitcher, arg_max(play, pos) AS last_play "
+    f"FROM ({o.slips(2, 4)}) s JOIN ({views.LEGS}) l ON (s.mask & (1 << pos)) <> 0 GROUP BY s.mask"
+)
+def slips_json(spark: SparkSession, sf: str) -> DataFrame:
+    """Slips with their legs inside, as JSON files and back."""
+    path = scratch(spark)
+    sinks.write_json(slips.with_legs(all_slips(spark, sf, (2, 4)).select("mask", "slip_size"), views.view(spark, sf, views.LEGS)), path)
+    x = spark.read.schema("mask long, slip_size int, legs array<struct<pitcher: string, play: string>>").json(path)
+    return x.select("mask", "slip_size", F.size("legs").alias("n_legs"), F.col("legs")[0]["pitcher"].alias("first_pitcher"), F.element_at("legs", -1)["play"].alias("last_play"))
+
+
 @query(f"{SLIP_SQL}, CAST(1 AS INT) AS units FROM ({o.slips(2, 2)}) s ORDER BY ordinal LIMIT 3")
 def bankroll_conservative(spark: SparkSession, sf: str) -> DataFrame:
     s = all_slips(spark, sf, (2, 2))

@@ -117,3 +117,53 @@ def test_a_tuned_row_is_there_once(spark, tmp_path):
     for mae in (0.9, 0.8):
         sinks.merge_parquet(make(("Tuned", mae)).withColumn("trees", F.lit(30)), path, "model")
     assert sorted((r.model, r.CV_MAE, r.trees) for r in spark.read.parquet(path).collect()) == [("Linear", 1.0, None), ("Ridge", 1.1, None), ("Tuned", 0.8, 30)]
+
+
+def test_json_is_fetched_or_an_error(tmp_path):
+    import threading
+    from functools import partial
+    from http.server import SimpleHTTPRequestHandler, ThreadingHTTPServer
+
+    class Quiet(SimpleHTTPRequestHandler):
+        def log_message(self, *_):
+            pass
+
+    (tmp_path / "odds.json").write_text('{"a": [1, 2]}')
+    server = ThreadingHTTPServer(("127.0.0.1", 0), partial(Quiet, directory=str(tmp_path)))
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    url = f"http://127.0.0.1:{server.server_address[1]}"
+    try:
+        assert readers.fetch_json(f"{url}/odds.json", {"sport": "x y"}) == {"a": [1, 2]}
+        with pytest.raises(OSError, match="404"):
+            readers.fetch_json(f"{url}/none.json", {})
+    finally:
+        server.shutdown()
+
+
+def test_landed_park_factors_are_numbers(spark, tmp_path):
+    (tmp_path / "p.csv").write_text("Team_abbr,K_park_factor\nSF,0.97\nBOS,\n")
+    got = {r.Team_abbr: r.K_park_factor for r in readers.landed_park_factors(spark, f"file://{tmp_path}/p.csv").collect()}
+    assert got == {"SF": 0.97, "BOS": None}
+
+
+def test_command_lines(spark, tmp_path):
+    from moundworks import cli
+
+    d0 = dt.date(2024, 4, 1)
+    rows = [(i % 2, d0 + dt.timedelta(i // 4), i, 9, "foul", "strikeout" if i % 3 == 0 else None, 1, "Top", "FF", "AZ", "NYY", None) for i in range(40)]
+    base = f"file://{tmp_path}"
+    pitches = spark.createDataFrame(rows, schemas.PITCHES)
+    pitches.write.parquet(f"{base}/pitches")
+    sinks.write_csv(spark.createDataFrame([("A", "SF", 20.0, 3, 1.0, 3.0, 9.0, 1), ("B", "SF", 9.0, 3, 2.0, 3.0, 9.0, 2), ("C", "SF", 30.0, 3, None, 3.0, 9.0, 3)], schemas.STARTERS), f"{base}/stats")
+    spark.createDataFrame([(1, 1), (3, 0)], schemas.PLAYER_XREF).write.parquet(f"{base}/xref")
+    cli.main(["starters", f"{base}/stats", f"{base}/xref", f"{base}/starters"], spark)
+    assert sorted(map(tuple, readers.read_csv(spark, f"{base}/starters", "pitcher_name string, pitcher_id long").collect())) == [("A", 1), ("C", 0)]
+    early = f"{base}/early"
+    pitches.where("seq < 20").write.parquet(early)
+    cli.main(["games", early, f"{base}/games", "--pitchers", f"{base}/starters", "--season", "2024"], spark)
+    assert spark.read.parquet(f"{base}/games").count() == 10
+    cli.main(["update", f"{base}/pitches", f"{base}/games", "--as-of", "2024-04-09"], spark)
+    got = spark.read.parquet(f"{base}/games")
+    assert got.count() == 16 and got.where("pitcher_name = 'C' AND pitcher <> 0").count() == 0
+    with pytest.raises(SystemExit):
+        cli.main(["nothing"], spark)
