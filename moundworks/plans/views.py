@@ -25,7 +25,8 @@ STARTERS = """
 SELECT s_suppkey AS IDfg, s_name AS Name, CAST(s_suppkey % 40 AS DOUBLE) AS IP, CAST(s_suppkey % 5 AS INT) AS GS,
  CASE WHEN s_suppkey % 9 <> 0 THEN s_acctbal / 1000.0 END AS WAR FROM supplier"""
 
-XREF = "SELECT s_suppkey AS key_fangraphs, s_suppkey AS key_mlbam FROM supplier WHERE s_suppkey % 10 <> 0"
+# a tenth are known under a key that nobody has
+XREF = "SELECT CASE WHEN s_suppkey % 10 <> 0 THEN s_suppkey ELSE -1 - s_suppkey END AS key_fangraphs, s_suppkey AS key_mlbam FROM supplier"
 
 PARKS = """
 SELECT Team_abbr, CAST(K_park_factor AS DOUBLE) AS K_park_factor
@@ -35,19 +36,21 @@ NICKNAMED = """
 SELECT s_suppkey AS id, CASE s_suppkey % 4 WHEN 0 THEN 'Giants' WHEN 1 THEN 'Cleveland' WHEN 2 THEN 'Guardians' ELSE 'Nobody' END AS Team,
  CAST(90 + s_suppkey % 20 AS DOUBLE) AS SO FROM supplier"""
 
+# a quarter are of players without a prediction
 LINES = """
-SELECT s_name AS player, CAST(3.5 + s_suppkey % 5 AS DOUBLE) AS k_line,
+SELECT CASE WHEN s_suppkey % 4 <> 0 THEN s_name ELSE CONCAT('Nobody ', s_name) END AS player, CAST(3.5 + s_suppkey % 5 AS DOUBLE) AS k_line,
  CASE WHEN s_suppkey % 3 = 0 THEN 100 + s_suppkey ELSE -100 - s_suppkey END AS over_american_price,
  CASE WHEN s_suppkey % 3 = 1 THEN 100 + s_suppkey ELSE -100 - s_suppkey END AS under_american_price
-FROM supplier WHERE s_suppkey % 4 <> 0"""
+FROM supplier"""
 
 PREDICTIONS = """
 SELECT s_name AS pitcher_name, CAST(3.0 + 0.8 * (s_suppkey % 7) AS DOUBLE) AS k_pred_mean, CAST(0.75 + 0.25 * (s_suppkey % 5) AS DOUBLE) AS k_pred_std,
- CAST(1.0 + 0.25 * (s_suppkey % 3) AS DOUBLE) AS residual_std FROM supplier WHERE s_suppkey % 5 <> 0"""
+ CAST(1.0 + 0.25 * (s_suppkey % 3) AS DOUBLE) AS residual_std FROM supplier"""
 
+# the twelve of highest balance
 LEGS = """
-SELECT CAST(s_suppkey AS INT) AS pos, CONCAT('P', CAST(s_suppkey % 8 AS STRING)) AS pitcher_name,
- CASE WHEN s_suppkey < 8 THEN 'over' ELSE 'under' END AS play, CAST(0.45 + 0.03 * (s_suppkey % 7) AS DOUBLE) AS p FROM supplier WHERE s_suppkey < 12"""
+SELECT pos, CONCAT('P', CAST(pos % 8 AS STRING)) AS pitcher_name, CASE WHEN pos < 8 THEN 'over' ELSE 'under' END AS play, CAST(0.45 + 0.03 * (pos % 7) AS DOUBLE) AS p
+FROM (SELECT CAST(row_number() OVER (ORDER BY s_acctbal DESC, s_suppkey) - 1 AS INT) AS pos FROM supplier) best WHERE pos < 12"""
 
 
 def view(spark: SparkSession, sf_dir: str, body: str) -> DataFrame:
