@@ -404,3 +404,45 @@ def test_a_score_follows_from_slots_and_weights():
                 found.add((h * 0xC2B2AE35 & mask) >> (32 - bits))
     z = sum(float(model.weight[s]) for s in found) - 0.3
     assert toxicity.scores([text], model)[0] == pytest.approx(1 / (1 + math.exp(-z)), rel=1e-6)
+
+
+def test_language_is_the_posterior_of_its_parts(spark):
+    """Each page's posterior again, by loops over the texts' verdicts of all pages."""
+    r = random.Random(8)
+    speech = {"en": "the and with house water".split(), "de": "der und mit haus wasser".split(), "fr": "le et avec maison eau".split()}
+    say = lambda lang, n: " ".join(r.choice(speech[lang]) for _ in range(n))
+    docs = spark.createDataFrame([(i, say(lang, 40), lang) for i, lang in enumerate(list(speech) * 12)], "doc_id long, text string, lang string")
+    rows = []
+    for i in range(40):
+        lang = r.choice(list(speech))
+        declared = r.choice(["", f' lang="{lang}"', ' lang="de"'])
+        host = r.choice(["a.example.de", "b.example.fr", "a.example.com"])
+        rows.append((i, f"http://{host}/x", f"<html{declared}><body><p>{say(lang, r.choice([0, 1, 2, 8]))}</p></body></html>"))
+    rows += [(90, None, None), (91, "no address", "<p>the und"), (None, "http://a.example.de", "")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    trust, most = 5.0, 30.0
+    got = langid.identify(pages, docs, trust=trust, most_trigrams=most).collect()
+    langs, table = langid.train(docs)
+    seen = []
+    for i, url, page in rows:
+        t = langid.trigrams(langid.plain(page or ""))
+        log = table[:, t].sum(axis=1) if len(t) > 1 else np.zeros(3)
+        said = (log - log.max()) * min(1.0, most / max(len(t), 1))
+        host = url.split("/")[2] if url and "://" in url else ""
+        found = page and page.split('lang="')[1].split('"')[0] if page and 'lang="' in page else ""
+        seen.append((i, said, langs[int(said.argmax())] if said.any() else None, host, host.rsplit(".", 1)[-1], found))
+    n = lambda keep: np.array([sum(1.0 for s in seen if s[2] == lang and keep(s)) for lang in langs])
+    total = n(lambda s: True)
+    every = (total + 1) / (total.sum() + 3)
+    want = {}
+    for i, said, own, host, suffix, declared in seen:
+        of_suffix, of_host, of_declared = n(lambda s, x=suffix: s[4] == x), n(lambda s, x=host: s[3] == x), n(lambda s, x=declared: s[5] == x)
+        prior = (of_host + trust * (of_suffix + trust * every) / (of_suffix.sum() + trust)) / (of_host.sum() + trust)
+        told = np.ones(3) if not declared else (of_declared + 1) / (total + 6)
+        log = said + np.log(prior) + np.log(told)
+        p = np.exp(log - log.max())
+        want[i] = (langs[int(log.argmax())], p.max() / p.sum(), own)
+    assert len(got) == len(rows)
+    for x in got:
+        assert (x.lang, x.text_lang) == (want[x.page_id][0], want[x.page_id][2])
+        assert x.probability == pytest.approx(want[x.page_id][1])
