@@ -2,8 +2,9 @@
 
 The text's likelihood comes from character trigrams of texts of known language. The declared language
 enters as P(declared | language) and the address through a prior by host, smoothed towards that of
-the address's suffix, which is smoothed towards that of all pages. These tables are counts of the
-text's own verdicts, summed by grouped aggregation over all pages.
+the address's suffix, which is smoothed towards that of all pages. These tables are counts of what the
+texts of all other pages say: they are summed by grouped aggregation over all pages, and a page's own
+count is taken out again before its tables are used.
 """
 
 from __future__ import annotations
@@ -35,12 +36,15 @@ def trigrams(text: str) -> np.ndarray:
     return (h * np.uint32(0xC2B2AE35)) >> np.uint32(32 - BITS)
 
 
-def train(docs: DataFrame, train_rows: int = 20_000) -> tuple[list[str], np.ndarray]:
+def train(docs: DataFrame, train_rows: int = 20_000, most_langs: int = 256) -> tuple[list[str], np.ndarray]:
     """Languages and the log probability of each trigram slot in each. Trained on at most
     ``train_rows`` distinct rows (doc_id and text) of known language, those of the smallest hash; a
-    bound on the hash picks them where they are, and only sums come to the driver."""
+    bound on the hash picks them where they are, and only sums come to the driver: a row of slots for each
+    language. More than ``most_langs`` languages among all rows are an error."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("text", "lang", F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 2).alias("h"))
-    n = known.count()
+    n, n_langs = known.agg(F.count("*"), F.count_distinct("lang")).first()
+    if n_langs > most_langs:
+        raise ValueError(f"{n_langs} languages, more than most_langs={most_langs}")
     share = int(min(1.0, 1.2 * train_rows / max(n, 1)) * (1 << 62)) - 1  # about a fifth more than wanted
     first = known.where(F.col("h") <= share).select("h").distinct().orderBy("h").limit(train_rows + 1).agg(F.max("h").alias("h"), F.count("*").alias("n")).first()
     bound = first["h"] if first["n"] > train_rows else share + 1
@@ -64,18 +68,19 @@ def train(docs: DataFrame, train_rows: int = 20_000) -> tuple[list[str], np.ndar
     return langs, np.log(n / n.sum(axis=1, keepdims=True))
 
 
-def identify(pages: DataFrame, docs: DataFrame, trust: float = 50.0, most_trigrams: float = 200.0, train_rows: int = 20_000) -> DataFrame:
+def identify(pages: DataFrame, docs: DataFrame, trust: float = 50.0, most_trigrams: float = 200.0, train_rows: int = 20_000, most_langs: int = 256) -> DataFrame:
     """Per row of ``pages``: page_id, lang, probability, text_lang, declared, host, suffix.
 
     Trigrams overlap, so a text speaks as loudly as ``most_trigrams`` of them at most. ``trust`` is
-    how many pages the coarser prior counts as. A page without text, declaration or host gets what
-    the rest says, in the end the prior of all pages; with no row of known language lang is null. A
+    how many pages the coarser prior counts as. The tables of host, suffix, declaration and all pages are
+    those of the other pages, so a page's text is heard once. A page without text, declaration or host gets what
+    the rest says, in the end the prior of all other pages; with no row of known language lang is null. A
     null page_id stays null, repeated rows are each a row and count as often, an empty table gives no
     rows, and other columns, whatever their names, are not looked at.
     """
     spark = pages.sparkSession
     shared.ship(spark)
-    langs, table = train(docs, train_rows)
+    langs, table = train(docs, train_rows, most_langs)
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[a-zA-Z][\w+.-]*://(?:[^/@]*@)?([^/:?#]+)", 1))
     declared = F.lower(F.regexp_extract(F.coalesce("html", F.lit("")), r"(?i)<html\b[^>]*?\slang\s*=\s*[\"']?([A-Za-z]+)", 1))
     rows = pages.select("page_id", host.alias("host"), F.element_at(F.split(host, r"\."), -1).alias("suffix"), declared.alias("declared"), F.coalesce("html", F.lit("")).alias("html"))
@@ -105,17 +110,22 @@ def identify(pages: DataFrame, docs: DataFrame, trust: float = 50.0, most_trigra
     by_suffix = counts(seen, "suffix")
     by_declared = counts(seen, "declared")
 
+    own = [F.coalesce(F.col("text_lang") == lang, F.lit(False)).cast("long") for lang in langs]
+
+    def others(p: str, k: int) -> Column:
+        return F.coalesce(F.col(f"{p}_{k}"), F.lit(0)) - own[k]
+
     def row_sum(p: str) -> Column:
-        return sum((F.coalesce(F.col(f"{p}_{k}"), F.lit(0)) for k in range(n_langs)), F.lit(0))
+        return sum((others(p, k) for k in range(n_langs)), F.lit(0))
 
     x = seen.join(by_host, "host", "left").join(by_suffix, "suffix", "left").join(by_declared, "declared", "left").crossJoin(F.broadcast(total))  # one row
     logs = []
     for k in range(n_langs):
-        every = (F.col(f"all_{k}") + 1.0) / (row_sum("all") + float(n_langs))
-        suffix = (F.coalesce(F.col(f"suffix_{k}"), F.lit(0)) + trust * every) / (row_sum("suffix") + trust)
-        prior = (F.coalesce(F.col(f"host_{k}"), F.lit(0)) + trust * suffix) / (row_sum("host") + trust)
+        every = (others("all", k) + 1.0) / (row_sum("all") + float(n_langs))
+        suffix = (others("suffix", k) + trust * every) / (row_sum("suffix") + trust)
+        prior = (others("host", k) + trust * suffix) / (row_sum("host") + trust)
         # P(declared | language) up to a factor that all languages share
-        told = F.when(F.col("declared") == "", 1.0).otherwise((F.coalesce(F.col(f"declared_{k}"), F.lit(0)) + 1.0) / (F.col(f"all_{k}") + 2.0 * n_langs))
+        told = F.when(F.col("declared") == "", 1.0).otherwise((others("declared", k) + 1.0) / (others("all", k) + 2.0 * n_langs))
         logs.append(F.col("said")[k] + F.ln(prior) + F.ln(told))
     x = x.withColumn("logs", F.array(*logs)).withColumn("top", F.array_max("logs"))
     best = F.array_position("logs", F.col("top"))

@@ -365,6 +365,8 @@ def test_language_is_trained_on_a_bound_of_distinct_rows(spark):
         weights = [1 / np.exp(x.min()) * 0.5 - 0.5 * (1 << langid.BITS) for x in table]
         assert sum(weights) <= n * most / 50 * 1.2 + 1
     assert langid.train(docs.limit(0))[0] == []
+    with pytest.raises(ValueError, match="2 languages"):
+        langid.train(docs, most_langs=1)
 
 
 def test_toxicity_settings_are_chosen_without_held_out_rows(spark, docs):
@@ -407,7 +409,7 @@ def test_a_score_follows_from_slots_and_weights():
 
 
 def test_language_is_the_posterior_of_its_parts(spark):
-    """Each page's posterior again, by loops over the texts' verdicts of all pages."""
+    """Each page's posterior again, by loops over the texts' verdicts of all other pages."""
     r = random.Random(8)
     speech = {"en": "the and with house water".split(), "de": "der und mit haus wasser".split(), "fr": "le et avec maison eau".split()}
     say = lambda lang, n: " ".join(r.choice(speech[lang]) for _ in range(n))
@@ -431,11 +433,12 @@ def test_language_is_the_posterior_of_its_parts(spark):
         host = url.split("/")[2] if url and "://" in url else ""
         found = page and page.split('lang="')[1].split('"')[0] if page and 'lang="' in page else ""
         seen.append((i, said, langs[int(said.argmax())] if said.any() else None, host, host.rsplit(".", 1)[-1], found))
-    n = lambda keep: np.array([sum(1.0 for s in seen if s[2] == lang and keep(s)) for lang in langs])
-    total = n(lambda s: True)
-    every = (total + 1) / (total.sum() + 3)
     want = {}
-    for i, said, own, host, suffix, declared in seen:
+    for row, (i, said, own, host, suffix, declared) in enumerate(seen):
+        rest = seen[:row] + seen[row + 1 :]
+        n = lambda keep, rest=rest: np.array([sum(1.0 for s in rest if s[2] == lang and keep(s)) for lang in langs])
+        total = n(lambda s: True)
+        every = (total + 1) / (total.sum() + 3)
         of_suffix, of_host, of_declared = n(lambda s, x=suffix: s[4] == x), n(lambda s, x=host: s[3] == x), n(lambda s, x=declared: s[5] == x)
         prior = (of_host + trust * (of_suffix + trust * every) / (of_suffix.sum() + trust)) / (of_host.sum() + trust)
         told = np.ones(3) if not declared else (of_declared + 1) / (total + 6)
@@ -446,3 +449,15 @@ def test_language_is_the_posterior_of_its_parts(spark):
     for x in got:
         assert (x.lang, x.text_lang) == (want[x.page_id][0], want[x.page_id][2])
         assert x.probability == pytest.approx(want[x.page_id][1])
+
+
+def test_a_page_does_not_vote_for_itself(spark):
+    """Where there is no other page, the text alone decides."""
+    docs = spark.createDataFrame([(1, "aaa bbb ccc", "en"), (2, "ddd eee fff", "de")], "doc_id long, text string, lang string")
+    page = lambda i, text, host: (i, f"http://{host}/{i}", f'<html lang="xx"><body>{text}</body></html>')
+    pages = spark.createDataFrame([page(0, "ddd", "lone.example")], "page_id long, url string, html string")
+    (x,) = langid.identify(pages, docs).collect()
+    langs, table = langid.train(docs)
+    said = table[:, langid.trigrams("ddd ")].sum(axis=1)
+    p = np.exp(said - said.max())
+    assert (x.lang, x.text_lang) == ("de", "de") and x.probability == pytest.approx(p.max() / p.sum())
