@@ -4,11 +4,12 @@ import struct
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from moundworks.llm import packed_ids, packing
 from moundworks.llm.queries import tokenizer_path
-from moundworks.llm.tokens import ChunkEncoder
+from moundworks.llm.tokens import ChunkEncoder, encoded
 
 pytest.importorskip("tokenizers")
 ODD = ["", " ", "  a", " a b", "a  b", "a \n b", "x  y", "don't 's q's\n", "a <|endoftext|> b", "<|endoftext|>x y", "\x1c a \x1cb", "a b ", "x, y. Z!? 'll, é. a1. 1,", "naïve  space", "word " * 3000, None]
@@ -32,6 +33,40 @@ def test_chunks_give_the_library_ids(encoder):
         assert np.frombuffer(encoder.encode(text or ""), "<u4").tolist() == reference(encoder, text, ())
 
 
+def test_any_mixture_of_white_space_and_signs_gives_the_library_ids(encoder):
+    parts = ["word", "Über", "ñ", "12", " ", " ", "\n", "\n\n", "\n\n\n", "\r\n", "\t", "\u00a0", "\u3000", "\x1c", "\x85", "'s", "'", "...", "$$$", "_", "<|endoftext|>", "<|", "|>", "\u4e2d\u6587", "\U0001f600", "e\u0301", "\x00"]
+    pick = np.random.default_rng(7)
+    texts = ["".join(pick.choice(parts, pick.integers(0, 12))) for _ in range(3000)] + ["\n".join(["word, Über$$$ x"] * 9), "a\n\nb\nc\n\nd e", "a\r\nb\n\n\nc d"]
+    got = encoder.encode_array(pa.array(texts))
+    assert [np.frombuffer(ids, "<u4").tolist() for ids in got] == [reference(encoder, t, ()) for t in texts]
+    assert [encoder.encode(t) for t in texts[:200]] == got[:200]
+
+
+def test_a_word_is_encoded_once_whatever_stands_beside_it():
+    """Lines and signs make no new chunks: the library gets a word once for each way it starts."""
+
+    class Counting:
+        def __init__(self, tokenizer):
+            self.tokenizer, self.n = tokenizer, 0
+
+        def encode(self, text, **more):
+            self.n += len(text)
+            return self.tokenizer.encode(text, **more)
+
+        def encode_batch_fast(self, texts, **more):
+            self.n += sum(map(len, texts))
+            return self.tokenizer.encode_batch_fast(texts, **more)
+
+    by = ChunkEncoder(tokenizer_path())
+    words = ["".join(chr(97 + i * k % 26) for k in range(1, 9)) for i in range(1, 26)]
+    lines = [f"{a}{sign}\n{b} {a}" for a in words for b in words for sign in ("", ".", "$$$", "%%%")]
+    want = [struct.pack(f"<{len(ids)}I", *ids) for ids in (by.tokenizer.encode(t, add_special_tokens=False).ids for t in lines)]
+    by.tokenizer = Counting(by.tokenizer)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(lines))), pa.array(lines)], names=["doc_id", "text"])
+    assert list(encoded(by, batch)) == list(enumerate(want))
+    assert by.tokenizer.n <= 2 * 9 * len(words) + 100
+
+
 @pytest.mark.parametrize("bits", [1, 3, 8, 11, 16, 17, 32])
 def test_bit_packing_round_trip(bits):
     ids = np.random.default_rng(bits).integers(0, 1 << bits, 10_001, np.uint64).astype(np.uint32)
