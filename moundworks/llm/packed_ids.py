@@ -141,10 +141,12 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END_ID, vo
         def close() -> pa.RecordBatch:
             nonlocal shard, n_ids
             name = f"{task:08d}-{shard:08d}.ids"
-            put(folder, name, to_file(doc_ids, lengths, np.frombuffer(b"".join(held), "<u4"), bits))
+            ids = np.frombuffer(b"".join(held), "<u4")
+            held.clear()  # before they are packed, so that they are held once
+            put(folder, name, to_file(doc_ids, lengths, ids, bits))
             row = pa.RecordBatch.from_pylist([{"file": name, "task": task, "number": shard, "n_docs": len(doc_ids), "n_ids": n_ids}])
             shard, n_ids = shard + 1, 0
-            for x in (doc_ids, lengths, held):
+            for x in (doc_ids, lengths):
                 x.clear()
             return row
 
