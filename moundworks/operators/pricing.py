@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,20 +42,62 @@ def evs(x: DataFrame, p_over: str, p_under: str, over: str, under: str, strict:
 
 def simulate(x: DataFrame, draws: int = 10_000, seed: int = 0, softness: float = 0.85, clip: bool = True) -> DataFrame:
     """``mc_p_over`` and ``mc_p_under`` from seeded normal draws, clipped at 0 and rounded half to even
-    where ``clip``, then softened. Draws are made and averaged inside each row: no rows are added."""
-    z = F.transform(F.sequence(F.lit(1), F.lit(draws)), lambda i: draw(i, seed))
-    value = (lambda u: F.rint(F.greatest(F.col("k_pred_mean") + F.col("hybrid_std") * u, F.lit(0.0)))) if clip else (lambda u: F.col("k_pred_mean") + F.col("hybrid_std") * u)
-    over = F.aggregate(z, F.lit(0), lambda n, u: n + F.when(value(u) > F.col("k_line"), 1).otherwise(0)) / F.lit(float(draws))
+    where ``clip``, then softened. Draws are made and averaged inside each row: no rows are added, and rows
+    stay where they are (see ``spread``)."""
+    start = F.xxhash64(F.lit(seed), F.col("pitcher_name"), F.col("k_line"))
+    over = over_share(draws, clip)(start, *[F.col(c).cast("double") for c in ("k_pred_mean", "hybrid_std", "k_line")])
     x = x.withColumn("mc_p_over", soften(over, softness))
     return x.withColumn("mc_p_under", F.lit(1.0) - F.col("mc_p_over"))
 
 
-def draw(i, seed: int):
-    """A standard normal value from a hash of the row's player, line and the draw's number."""
-    h = F.xxhash64(F.lit(seed), F.col("pitcher_name"), F.col("k_line"), i)
-    u = (F.shiftrightunsigned(h, 33).cast("double") + 0.5) / float(1 << 31)
-    v = (h.bitwiseAND(F.lit((1 << 31) - 1)).cast("double") + 0.5) / float(1 << 31)
-    return F.sqrt(-2.0 * F.ln(u)) * F.cos(v * (2 * 3.141592653589793))
+def spread(x: DataFrame) -> DataFrame:
+    """Rows dealt out to all cores: they are few and small, so that they lie in one or two tasks, but dear to
+    simulate."""
+    spark = x.sparkSession
+    return x.repartition(max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
+def normals(start: int, steps: np.ndarray) -> np.ndarray:
+    """Standard normal values from hashes: the row's own hash goes on with each draw's number, as the
+    engine's 64-bit xxHash does; ``steps`` are the numbers times the hash's first factor."""
+    h = steps ^ np.uint64((start + PRIMES[4] + 4) & MASK)
+    h = ((h << 23) | (h >> 41)) * PRIMES[1] + PRIMES[2]
+    h ^= h >> 33
+    h *= PRIMES[1]
+    h ^= h >> 29
+    h *= PRIMES[2]
+    h ^= h >> 32
+    u = ((h >> 33).astype(np.float64) + 0.5) / float(1 << 31)
+    v = ((h & np.uint64((1 << 31) - 1)).astype(np.float64) + 0.5) / float(1 << 31)
+    return np.sqrt(-2.0 * np.log(u)) * np.cos(v * (2 * np.pi))
+
+
+MASK = (1 << 64) - 1
+PRIMES = (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5)
+
+
+def over_share(draws: int, clip: bool):
+    """The share of a row's draws above its line. Nulls and NaN are as in expressions: a null value is none
+    above the line (clipped: 0), NaN is above every number, and nothing is above a line that is null or NaN."""
+
+    @F.arrow_udf("double")
+    def share(start: pa.Array, mean: pa.Array, deviation: pa.Array, line: pa.Array) -> pa.Array:
+        steps = np.array([i * PRIMES[0] & MASK for i in range(1, draws + 1)], np.uint64)
+        out = []
+        for h, m, s, k in zip(*[c.to_pylist() for c in (start, mean, deviation, line)], strict=True):
+            if k is None or k != k:
+                out.append(0.0)
+                continue
+            if m is None or s is None:
+                out.append(1.0 if clip and k < 0 else 0.0)
+                continue
+            value = m + s * normals(h, steps)
+            if clip:
+                value = np.rint(np.maximum(value, 0.0))
+            out.append(float(draws - np.count_nonzero(value <= k)) / draws)
+        return pa.array(out, pa.float64())
+
+    return share
 
 
 def simulated_ev(x: DataFrame, draws: int = 10_000, seed: int = 0) -> DataFrame:
@@ -65,10 +109,20 @@ def simulated_ev(x: DataFrame, draws: int = 10_000, seed: int = 0) -> DataFrame:
 
 def plays(x: DataFrame, over: str = "mc_ev_over", under: str = "mc_ev_under") -> DataFrame:
     """A row per side: the side's value and payout as ``ev`` and ``payout``; the other side's columns
-    stay and its own are null. Only positive values."""
-    a = x.withColumnsRenamed({over: "ev", "payout_over": "payout"}).withColumn("play", F.lit("over"))
-    b = x.withColumnsRenamed({under: "ev", "payout_under": "payout"}).withColumn("play", F.lit("under"))
-    return a.unionByName(b, allowMissingColumns=True).where(F.col("ev") > 0)
+    stay and its own are null. Only positive values. ``x`` is made once for both sides."""
+    kinds = dict(x.dtypes)
+    first = {over: "ev", "payout_over": "payout"}
+    own = {"over": first, "under": {under: "ev", "payout_under": "payout"}}
+
+    def side(play: str):
+        taken = {new: F.col(c) for c, new in own[play].items()}
+        other = [F.when(F.lit(c not in own[play]), F.col(c)).cast(kinds[c]).alias(c) for names in own.values() for c in names]
+        return F.struct(*[taken[n].alias(n) for n in ("ev", "payout")], *other, F.lit(play).alias("play"))
+
+    x = x.withColumn("_side", F.explode(F.array(side("over"), side("under")))).where(F.col("_side.ev") > 0)
+    sided = {"ev", "payout", *own["over"], *own["under"]}
+    columns = [first.get(c, c) for c in x.columns if c != "_side"]
+    return x.select(*[F.col(f"_side.{c}" if c in sided else c) for c in columns], F.col("_side.play").alias("play"), *[F.col(f"_side.{c}") for c in x.columns if c in first])
 
 
 def edges(predictions: DataFrame, lines: DataFrame, n: int | None = 20) -> DataFrame:

@@ -289,6 +289,27 @@ def test_slips_of_the_best_plays(spark, monkeypatch):
     assert all(got[m] == pytest.approx(want[m], abs=1e-8) for m in want)
 
 
+def test_draws_are_those_of_hash_expressions(spark):
+    """Nulls, NaN and infinities included."""
+    nan, inf = float("nan"), float("inf")
+    odd = [(None, 5.5, 5.0, 1.0), ("a", None, 5.0, 1.0), ("b", 5.5, None, 1.0), ("c", -1.0, None, 1.0), ("d", nan, 5.0, 1.0), ("e", 5.5, nan, 1.0), ("f", 5.5, 5.0, None), ("g", 5.5, inf, 1.0), ("h", 5.0, 5.0, 0.0), ("i", -inf, 5.0, 1.0)]
+    df = spark.createDataFrame([(f"p{i}", 2.5 + i % 5, 3 + i * 0.31, 0.5 + i * 0.17) for i in range(20)] + odd, "pitcher_name string, k_line double, k_pred_mean double, hybrid_std double")
+    h = "xxhash64(9, pitcher_name, k_line, i)"
+    z = f"sqrt(-2 * ln((shiftrightunsigned({h}, 33) + 0.5D) / 2147483648D)) * cos((({h} & 2147483647) + 0.5D) / 2147483648D * 2 * pi())"
+    for clip, value in ((True, f"rint(greatest(k_pred_mean + hybrid_std * {z}, 0D))"), (False, f"k_pred_mean + hybrid_std * {z}")):
+        want = df.withColumn("i", F.explode(F.sequence(F.lit(1), F.lit(300)))).groupBy("pitcher_name").agg(F.expr(f"count_if({value} > k_line) / 300D").alias("p"))
+        got = pricing.simulate(df, 300, seed=9, softness=1.0, clip=clip)
+        assert {r.pitcher_name: r.mc_p_over for r in got.collect()} == pytest.approx({r.pitcher_name: r.p for r in want.collect()})
+
+
+def test_plays_simulate_once_and_on_all_cores(spark):
+    df = spark.range(50).selectExpr("concat('p', id) AS pitcher_name", "5.5D AS k_line", "5D AS k_pred_mean", "1D AS hybrid_std", "2D AS payout_over", "2D AS payout_under").coalesce(1)
+    x = pricing.simulate(pricing.spread(df), 100)
+    assert x.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    plan = slips.top_legs(pricing.plays(pricing.evs(x, "mc_p_over", "mc_p_under", "mc_ev_over", "mc_ev_under")))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("xxhash64") == 1 and plan.count("Generate explode") == 1
+
+
 def test_greedy_choices_follow_a_plain_loop(spark):
     s = slips.slips(legs(spark)).select("mask", "slip_size", "p_win", "payout", F.round("total_ev", 9).alias("total_ev"), "avg_ev", "ordinal")
     made = [(m, p, round(ev, 9), k) for m, p, ev, k in combos(range(2, 9))]
