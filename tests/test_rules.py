@@ -310,6 +310,13 @@ def test_plays_simulate_once_and_on_all_cores(spark):
     assert plan.count("xxhash64") == 1 and plan.count("Generate explode") == 1
 
 
+def test_teams_are_told_from_few_rows(spark):
+    """No condition on a team's code stands below the first aggregation, where it would be met by each pitch."""
+    rates = context.opponent_k(spark.range(3).selectExpr("date'2024-01-01' + int(id) AS game_date", "string(id) AS home_team", "string(id) AS away_team", "string(id) AS inning_topbot", "string(id) AS events"), compat=False)
+    plan = context.with_opponent(spark.range(3).selectExpr("date'2024-01-01' + int(id) AS game_date", "string(id) AS opponent_team"), rates)._jdf.queryExecution().optimizedPlan().toString()
+    assert "WSN" in plan and "WSN" not in plan[plan.rindex("Aggregate ") :]
+
+
 def test_greedy_choices_follow_a_plain_loop(spark):
     s = slips.slips(legs(spark)).select("mask", "slip_size", "p_win", "payout", F.round("total_ev", 9).alias("total_ev"), "avg_ev", "ordinal")
     made = [(m, p, round(ev, 9), k) for m, p, ev, k in combos(range(2, 9))]
